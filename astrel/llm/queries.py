@@ -3,13 +3,23 @@
 from __future__ import annotations
 
 from astrel.llm import _spark as S
-from astrel.llm import exact_dedup
+from astrel.llm import exact_dedup, token_counts
 
 
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(S.table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name="byte_bpe_50k.json"):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_token_counts(spark, sf_dir):
+    return token_counts.token_counts(S.table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
