@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from astrel.llm import _spark as S
-from astrel.llm import exact_dedup, token_counts
+from astrel.llm import exact_dedup, mixing, token_counts
 
 
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(S.table(spark, sf_dir, "documents"))
 
 
+def op1_mixing(spark, sf_dir):
+    return mixing.mix(S.table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name="byte_bpe_50k.json"):
     import public_tokenizers
 
@@ -25,4 +29,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op10_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_mixing": mixing.oracle(), "op10_exact_dedup": exact_dedup.ORACLE}
