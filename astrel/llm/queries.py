@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from astrel.llm import _spark as S
-from astrel.llm import exact_dedup, mixing, token_counts
+from astrel.llm import exact_dedup, mixing, substring_dedup, token_counts
 
 
 def op10_exact_dedup(spark, sf_dir):
@@ -24,9 +24,13 @@ def op7_token_counts(spark, sf_dir):
     return token_counts.token_counts(S.table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_substring_dedup(spark, sf_dir):
+    return substring_dedup.substring_dedup(S.table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql():
-    return {"op1_mixing": mixing.oracle(), "op10_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_mixing": mixing.oracle(), "op9_substring_dedup": substring_dedup.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
