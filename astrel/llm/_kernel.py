@@ -26,6 +26,9 @@ _POWERS: dict[str, np.ndarray] = {}
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: White space and ASCII signs.
+SIGN = np.zeros(256, bool)
+SIGN[[b for b in range(128) if not chr(b).isalnum()]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -75,12 +78,12 @@ def slices(bounds: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, words before each bound) of all words; no word crosses a bound."""
+def word_spans(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, words before each bound) of all words; no word crosses a bound.  space: the bytes between words."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(bounds), np.int64)
-    solid = ~SPACE[data]
+    solid = ~space[data]
     before = np.empty_like(solid)
     before[0] = False
     before[1:] = solid[:-1]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from astrel.llm import _spark as S
-from astrel.llm import exact_dedup, mixing, substring_dedup, token_counts
+from astrel.llm import exact_dedup, mixing, ngram_join, substring_dedup, token_counts
 
 
 def op10_exact_dedup(spark, sf_dir):
@@ -14,6 +14,10 @@ def op1_mixing(spark, sf_dir):
     return mixing.mix(S.table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark, sf_dir):
+    return ngram_join.ngram_join(S.table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name="byte_bpe_50k.json"):
     import public_tokenizers
 
@@ -33,4 +37,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_mixing": mixing.oracle(), "op9_substring_dedup": substring_dedup.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_mixing": mixing.oracle(), "op2_ngram_join": ngram_join.ORACLE, "op9_substring_dedup": substring_dedup.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
