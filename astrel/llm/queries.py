@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from astrel.llm import _spark as S
-from astrel.llm import exact_dedup, mixing, ngram_join, substring_dedup, token_counts
+from astrel.llm import exact_dedup, mixing, ngram_join, substring_dedup, token_counts, toxicity
 
 
 def op10_exact_dedup(spark, sf_dir):
@@ -28,6 +28,10 @@ def op7_token_counts(spark, sf_dir):
     return token_counts.token_counts(S.table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_toxicity(spark, sf_dir):
+    return toxicity.toxicity(S.table(spark, sf_dir, "documents"), S.table(spark, sf_dir, "labels"))
+
+
 def op9_substring_dedup(spark, sf_dir):
     return substring_dedup.substring_dedup(S.table(spark, sf_dir, "documents")).drop("kept_text")
 
