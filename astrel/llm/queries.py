@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from astrel.llm import _spark as S
-from astrel.llm import decontamination, exact_dedup, mixing, ngram_join, substring_dedup, token_counts, toxicity
+from astrel.llm import decontamination, exact_dedup, mixing, ngram_join, pii, substring_dedup, token_counts, toxicity
 
 
 def op10_exact_dedup(spark, sf_dir):
@@ -28,6 +28,10 @@ def op7_token_counts(spark, sf_dir):
     return token_counts.token_counts(S.table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_pii(spark, sf_dir):
+    return pii.find_pii(S.table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark, sf_dir):
     return decontamination.decontaminate(S.table(spark, sf_dir, "documents"), S.table(spark, sf_dir, "benchmark"))
 
