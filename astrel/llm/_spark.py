@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a small table may be broadcast; callers count the rows first.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of files (or Catalyst's estimate) up to which it may be.
+BROADCAST_BYTES = 24 << 20
 #: Bytes of input that one partition of a packed exchange serves.
 EXCHANGE_BYTES = 16 << 20
 
@@ -61,8 +63,8 @@ def partitions(df: DataFrame) -> int:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows, else df: AQE then joins by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df with a broadcast hint if it has at most so many rows and BROADCAST_BYTES, else df: AQE then joins by shuffle."""
+    return F.broadcast(df) if input_bytes(df) <= BROADCAST_BYTES and df.limit(rows + 1).count() <= rows else df
 
 
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
