@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from astrel.llm import _spark as S
-from astrel.llm import decontamination, exact_dedup, mixing, ngram_join, pii, substring_dedup, token_counts, toxicity
+from astrel.llm import decontamination, exact_dedup, mixing, ngram_join, pii, substring_dedup, token_counts, toxicity, url_filter
 
 
 def op10_exact_dedup(spark, sf_dir):
@@ -36,6 +36,10 @@ def op5_decontamination(spark, sf_dir):
     return decontamination.decontaminate(S.table(spark, sf_dir, "documents"), S.table(spark, sf_dir, "benchmark"))
 
 
+def op6_url_filter(spark, sf_dir):
+    return url_filter.url_filter(S.table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark, sf_dir):
     return toxicity.toxicity(S.table(spark, sf_dir, "documents"), S.table(spark, sf_dir, "labels"))
 
