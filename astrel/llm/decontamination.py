@@ -140,8 +140,8 @@ def _lengths(batches):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """Finds items of benchmark(item_id, text, ...) in docs(doc_id, text, ...).
 
-    Returns for each row of docs: doc_id, contaminated, n_items, item_ids (ascending)
-    and coverage, the largest share of an item's words that consistent alignments
+    Returns for each row of docs: doc_id, contaminated, n_items, item_ids (ascending),
+    text_key (xxhash64 of the text) and coverage, the largest share of an item's words that consistent alignments
     cover.  A document is contaminated if that share reaches the parameter for some
     item; item_ids lists those.
 
@@ -177,5 +177,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     none = F.array().cast("array<long>")
     return out.select(
         "doc_id", (F.size(F.coalesce("item_ids", none)) > 0).alias("contaminated"), F.size(F.coalesce("item_ids", none)).cast("long").alias("n_items"),
-        F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"),
+        F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), keyed["key"].alias("text_key"),
     )

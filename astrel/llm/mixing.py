@@ -65,22 +65,25 @@ def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return sources.withColumn("target", F.least(level, F.col("cap").cast("double"))).drop("cap")
 
 
-def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """The mix of docs(doc_id, text, source, ...): doc_id, size, source_size, target, repeats, taken.
+def _digest(seed: int):
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary"))
 
-    size is the number of words of the text (null or blank: 0); sources, ordered by
-    code point with null last, weigh 1, 2, 3, 1, ...  repeats is how often the mix
-    takes the document, taken its words times that.  A source's taken words differ
-    from its target by at most half of one document.  Equal inputs and seeds give
-    equal results in any order of rows.  Repeated rows count as often as they occur;
-    a null doc_id is ordered like the text "null"; an empty table gives an empty mix.
-    Columns other than these three are ignored.
+
+def _size():
+    return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _plan(docs: DataFrame, max_epochs: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sized rows, what holds for each source, decisions for the rows around each source's cut).
+
+    A source's row has its target, whole repetitions, words still needed, and the
+    first and last md5 prefix of its cut: documents before it are taken once more,
+    documents after it aren't, and those in it are decided one by one.
     """
-    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary"))
     sized = S.written(
         docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-            F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), digest.alias("md5"),
+            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size().alias("size"),
+            _digest(seed).alias("md5"), F.xxhash64("text").alias("text_key"),
         )
     )
     sums = _numbered(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
@@ -88,37 +91,76 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> Data
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     sources = sources.withColumn("whole", F.least(epochs, F.lit(max_epochs)).cast("long"))
     sources = S.written(sources.withColumn("need", F.col("target") - (F.col("whole") * F.col("source_size")).cast("double")))
-    dims = S.small(sources.select(F.col("source").alias("s"), "source_size", "target", "whole", "need"))
-    rows = sized.join(dims, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    needs = S.small(sources.select(F.col("source").alias("s"), "need"))
+    same = F.col("source").eqNullSafe(F.col("s"))
 
     # first level: words before each md5 prefix, at most 4,096 rows a source
-    a, b = F.substring("md5", 1, 3).alias("a"), F.substring("md5", 4, 3).alias("b")
-    level = sized.groupBy("source", a).agg(F.sum("size").alias("words"))
+    a, b = F.substring("md5", 1, 3), F.substring("md5", 4, 3)
+    level = sized.groupBy("source", a.alias("a")).agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
-    level = level.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    level = level.join(dims, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    cut = S.written(level.filter("before <= need and before + words >= need").select(F.col("source").alias("s"), F.col("a").alias("cut_a"), F.col("before").alias("before_a")))
-    # second level, inside the prefix that holds the cut
-    cut_dim = S.small(cut)
-    near = sized.join(cut_dim, F.col("source").eqNullSafe(F.col("s")) & (F.substring("md5", 1, 3) == F.col("cut_a"))).drop("s")
-    level = near.groupBy("source", "cut_a", "before_a", b).agg(F.sum("size").alias("words"))
+    level = level.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).join(needs, same)
+    cut = S.written(level.filter("before <= need and before + words >= need").select("s", "need", F.col("a").alias("cut_a"), F.col("before").alias("before_a")))
+    # second level, inside the prefix that holds the cut; then document by document
+    near = S.written(sized.join(S.small(cut), same & (a == F.col("cut_a"))).withColumn("b", b))
+    level = near.groupBy("source", "cut_a", "before_a", "b").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source", "cut_a").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     level = level.withColumn("before_b", F.col("before_a") + F.coalesce(F.sum("words").over(before), F.lit(0)))
-    level = level.select(F.col("source").alias("s"), F.col("cut_a").alias("a2"), F.col("b").alias("b2"), "before_b")
-    order = Window.partitionBy("source", "a", "b").orderBy("md5", "size").rowsBetween(Window.unboundedPreceding, -1)
-    inside = rows.withColumns({"a": F.substring("md5", 1, 3), "b": F.substring("md5", 4, 3)})
-    cut_range = cut.groupBy("s").agg(F.min("cut_a").alias("first_a"), F.max("cut_a").alias("last_a"))
-    inside = inside.join(S.small(cut_range), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    # sources without a cut need nothing more than whole repetitions
-    sure = inside.filter("first_a is null or a < first_a or a > last_a").withColumn("more", F.when(F.col("a") < F.col("first_a"), 1).otherwise(0))
-    open_ = inside.filter("a >= first_a and a <= last_a").join(level, F.col("source").eqNullSafe(F.col("s")) & (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")))
+    level = level.select(F.col("source").alias("s2"), F.col("cut_a").alias("a2"), F.col("b").alias("b2"), "before_b")
+    near = near.join(level, F.col("source").eqNullSafe(F.col("s2")) & (F.col("cut_a") == F.col("a2")) & (F.col("b") == F.col("b2")))
+    order = Window.partitionBy("source", "cut_a", "b").orderBy("md5", "size").rowsBetween(Window.unboundedPreceding, -1)
     mid = F.col("before_b") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2
-    open_ = open_.withColumn("more", F.when((mid <= F.col("need")) & (F.col("need") > 0), 1).otherwise(0))
+    decided = near.select("doc_id", "source", "size", "text_key", F.when((mid <= F.col("need")) & (F.col("need") > 0), 1).otherwise(0).alias("more"))
+    edge = cut.groupBy(F.col("s").alias("s3")).agg(F.min("cut_a").alias("first_a"), F.max("cut_a").alias("last_a"))
+    dims = sources.join(edge, F.col("source").eqNullSafe(F.col("s3")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", "first_a", "last_a")
+    return sized, S.written(dims), S.written(decided)
+
+
+def _split(rows: DataFrame, dims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows(source, md5, ...) with their source's columns: (those decided by their md5 prefix, with more; those in a cut)."""
+    rows = rows.join(S.small(dims), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("a", F.substring("md5", 1, 3))
+    inside = F.coalesce((F.col("a") >= F.col("first_a")) & (F.col("a") <= F.col("last_a")), F.lit(False))
+    return rows.filter(~inside).withColumn("more", F.when(F.col("a") < F.col("first_a"), 1).otherwise(0)), rows.filter(inside)
+
+
+def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """The mix of docs(doc_id, text, source, ...): doc_id, size, source_size, target, repeats, taken.
+
+    size is the number of words of the text (null or blank: 0); sources, ordered by
+    code point with null last, weigh 1, 2, 3, 1, ...  repeats is how often the mix
+    takes the document, taken its words times that.  A source's taken words differ
+    from its target by at most half of one document.  Equal inputs and seeds give
+    equal results in any order of rows.  Repeated rows count as often as they occur;
+    a null doc_id is ordered like the text "null"; an empty table gives an empty mix.
+    Columns other than these three are ignored.
+    """
+    sized, dims, decided = _plan(docs, max_epochs, seed)
+    sure, _ = _split(sized, dims)
+    cut = decided.join(S.small(dims), F.col("source").eqNullSafe(F.col("s")))
     keep = ["doc_id", "size", "source_size", "target", F.least(F.col("whole") + F.col("more"), F.lit(max_epochs)).cast("long").alias("repeats")]
-    out = sure.select(*keep).unionByName(open_.select(*keep))
+    out = sure.select(*keep).unionByName(cut.select(*keep))
     return out.withColumn("taken", F.col("size") * F.col("repeats"))
 
 
+def mixed(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """The mix itself: each row of docs as often as mix() takes it.
+
+    Adds repetition (1, 2, ...), source_size, target and taken (the words of this
+    repetition); other columns of docs pass through and their texts are not shuffled.
+    Rows with equal doc_id, source and text in one cut are decided alike.
+    """
+    _, dims, decided = _plan(docs, max_epochs, seed)
+    names = docs.columns
+    inner = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_key"), _digest(seed).alias("md5"), _size().alias("size"))
+    sure, cut = _split(inner, dims)
+    one = decided.groupBy(F.col("doc_id").alias("d"), F.col("source").alias("c"), F.col("text_key").alias("k")).agg(F.max("more").alias("more"))
+    cut = cut.join(S.small(one), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("c")) & (F.col("text_key") == F.col("k")))
+    keep = ["row", "source_size", "target", F.col("size").alias("taken"), F.least(F.col("whole") + F.col("more"), F.lit(max_epochs)).cast("int").alias("repeats")]
+    out = sure.select(*keep).unionByName(cut.select(*keep)).filter("repeats > 0")
+    own = [c for c in ("repetition", "source_size", "target", "taken") if c not in names]
+    out = out.withColumn("repetition", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
+    return out.select("row.*", *own)
+
+
 def oracle(max_epochs: int = MAX_EPOCHS, seed: int = SEED, documents: str = "documents") -> str:
     """The same in SQL: water levels from prefix sums over the sources in the order in which they fill."""
     return rf"""

@@ -75,7 +75,7 @@ def ngram_sets(data: np.ndarray, bounds: np.ndarray, n: int = NGRAM) -> tuple[np
 
 
 def _sketch(percent: int):
-    """doc_id, set size, two signatures of the set, and its first prefix in hash order."""
+    """doc_id, set size, two signatures of the set, its first prefix in hash order, and the text's key."""
 
     def over(batches):
         for batch in batches:
@@ -91,7 +91,7 @@ def _sketch(percent: int):
                 sizes.append(n)
                 prefix += [g[i : i + t].tobytes() for i, t in zip(b[:-1].tolist(), take.tolist(), strict=True)]
             cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cat(sizes)), pa.array(cat(s1).astype(np.int64)), pa.array(cat(s2).astype(np.int64)), pa.array(prefix, pa.binary())], names=["doc_id", "n", "s1", "s2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cat(sizes)), pa.array(cat(s1).astype(np.int64)), pa.array(cat(s2).astype(np.int64)), pa.array(prefix, pa.binary()), batch.column(2)], names=["doc_id", "n", "s1", "s2", "prefix", "text_key"])
 
     return over
 
@@ -223,7 +223,8 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Two documents link when 100 * common n-grams >= percent * n-grams in either.
     Returns for each row of docs: doc_id, n_shingles, n_similar (documents linked
-    directly), component_id (smallest doc_id reachable by links, itself included).
+    directly), component_id (smallest doc_id reachable by links, itself included) and
+    text_key (xxhash64 of the text, to tell apart rows that share a doc_id).
 
     Null, empty and blank texts have no n-grams and no links; their component is
     their doc_id.  Rows with a null doc_id count in the n_similar of others; their
@@ -233,7 +234,7 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     texts = S.text_ids(docs)
     owners = S.partitions(texts)
-    sketch = S.written(texts.mapInArrow(_sketch(percent), "doc_id long, n long, s1 long, s2 long, prefix binary"))
+    sketch = S.written(S.text_ids(docs, F.xxhash64("text").alias("text_key")).mapInArrow(_sketch(percent), "doc_id long, n long, s1 long, s2 long, prefix binary, text_key long"))
     key = ["s1", "s2", "n"]
     classes = sketch.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min("prefix").alias("prefix"))
     cid = F.coalesce("first_id", F.lit(NO_ID) - F.col("s1").bitwiseAND((1 << 60) - 1)).alias("cid")
@@ -259,7 +260,7 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = texts.join(S.small(needed.select(F.col("cid").alias("doc_id"))), "doc_id", "left_semi").select(F.col("doc_id").alias("cid"), "text")
     whole = named.mapInArrow(_sets, "cid long, grams binary")
     if needed.filter(F.col("cid") <= NO_ID).limit(1).count():
-        nameless = texts.filter("doc_id is null").mapInArrow(_sketch_text(percent), "n long, s1 long, s2 long, grams binary")
+        nameless = S.text_ids(docs, F.xxhash64("text").alias("text_key")).filter("doc_id is null").mapInArrow(_sketch_text(percent), "n long, s1 long, s2 long, grams binary")
         whole = whole.union(nameless.join(classes.filter(F.col("cid") <= NO_ID), key).select("cid", "grams"))
     sets = wanted.join(whole.dropDuplicates(["cid"]), "cid")
     links = S.written(blocked.groupBy("block").cogroup(sets.select("block", "cid", "grams").groupBy("block")).applyInArrow(_verify(percent), "lo long, hi long"))
@@ -271,7 +272,7 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     about = about.select(*key, (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"), F.coalesce("component", "cid").alias("component"))
     return sketch.drop("prefix").join(S.written(about), key, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"),
-        F.when(F.col("component") > NO_ID, F.col("component")).when(F.col("component").isNull(), F.col("doc_id")).alias("component_id"),
+        F.when(F.col("component") > NO_ID, F.col("component")).when(F.col("component").isNull(), F.col("doc_id")).alias("component_id"), "text_key",
     )
 
 

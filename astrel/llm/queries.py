@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from astrel.llm import _spark as S
-from astrel.llm import decontamination, exact_dedup, mixing, ngram_join, pii, substring_dedup, token_counts, toxicity, url_filter
+from astrel.llm import decontamination, exact_dedup, html_text, mixing, ngram_join, pii, substring_dedup, token_counts, toxicity, url_filter
 
 
 def op10_exact_dedup(spark, sf_dir):
@@ -15,7 +15,7 @@ def op1_mixing(spark, sf_dir):
 
 
 def op2_ngram_join(spark, sf_dir):
-    return ngram_join.ngram_join(S.table(spark, sf_dir, "documents"))
+    return ngram_join.ngram_join(S.table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def tokenizer_path(name="byte_bpe_50k.json"):
@@ -28,12 +28,16 @@ def op7_token_counts(spark, sf_dir):
     return token_counts.token_counts(S.table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_html_text(spark, sf_dir):
+    return html_text.html_text(S.table(spark, sf_dir, "pages"))
+
+
 def op4_pii(spark, sf_dir):
     return pii.find_pii(S.table(spark, sf_dir, "documents"))
 
 
 def op5_decontamination(spark, sf_dir):
-    return decontamination.decontaminate(S.table(spark, sf_dir, "documents"), S.table(spark, sf_dir, "benchmark"))
+    return decontamination.decontaminate(S.table(spark, sf_dir, "documents"), S.table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
 def op6_url_filter(spark, sf_dir):

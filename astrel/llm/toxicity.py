@@ -248,6 +248,17 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, np.ndarray]:
     return shared, fit_curve(np.array([r.x for r in held]), y)
 
 
+def scorer(model, curve: np.ndarray):
+    """An Arrow UDF from text to score; null and empty texts have one and the same score."""
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        z = np.clip(model.value.evidence(texts) @ curve, -30, 30)
+        return pa.array(1 / (1 + np.exp(-z)))
+
+    return score
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of docs(doc_id, text, ...).
 
@@ -256,11 +267,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     score as empty ones, and lang, source, doc_id and labels have no part in it.
     Texts are read whole; other columns of either table are ignored.
     """
-    model, curve = train(docs, labels)
-
-    def score(batch):
-        z = np.clip(model.value.evidence(batch.column(1)) @ curve, -30, 30)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-z)))], names=["doc_id", "score"])
-
-    out = S.map_arrow(S.text_ids(docs), score, "doc_id long, score double")
+    score = scorer(*train(docs, labels))
+    out = S.text_ids(docs).select("doc_id", score("text").alias("score"))
     return out.select("doc_id", (_fold(F.col("doc_id")) % 3 == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
