@@ -13,6 +13,7 @@ fingerprints.  All fingerprints have 64 bits.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,8 +54,18 @@ def scramble(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def tidy() -> None:
+    """Give memory that earlier batches freed back to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def column(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, bounds) of a string column; nulls become empty texts."""
+    tidy()
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()
     if values.null_count:
