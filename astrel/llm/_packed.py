@@ -47,6 +47,7 @@ class Inbox:
     """What one owner task received: messages by kind, each as whole arrays."""
 
     def __init__(self, batches, width: int, short: bool):
+        K.tidy()
         self.rows: dict[int, list] = {}
         self.width, self.short = width, short
         for b in batches:

@@ -82,23 +82,21 @@ def _count_pairs(owners: int):
     """Bigram counts by class of batch(text, toxic), summed in the task."""
 
     def over(batches):
-        keys, tox = [], []
-        held = 0
+        keys, held = [], 0
 
         def flush():
-            key, t = np.concatenate(keys), np.concatenate(tox)
-            key, c0, c1 = _sum_by(key, ~t, t)
+            both, times = np.unique(np.concatenate(keys), return_counts=True)  # the class is the last bit
+            key, c0, c1 = _sum_by(both >> 1, times * (both & 1 == 0), times * (both & 1))
             return _parts(_bucket(key) * owners >> PAIR_BITS, 0, key, c0, c1)
 
         for batch in batches:
             label = batch.column(1).to_numpy(zero_copy_only=False) > 0
             for first, last, w, v, per in _words(batch.column(0)):
-                keys.append(v << WORD_BITS | w)
-                tox.append(np.repeat(label[first:last], np.diff(per)))
+                keys.append((v << WORD_BITS | w) << 1 | np.repeat(label[first:last], np.diff(per)))
                 held += len(w)
                 if held > 1 << 21:
                     yield flush()
-                    keys, tox, held = [], [], 0
+                    keys, held = [], 0
         if held:
             yield flush()
 
@@ -119,10 +117,12 @@ def _sum_pairs(owners: int):
     """Owner of a range of bigram buckets: their counts, and what its bigrams add to contexts and words."""
 
     def over(batches):
+        K.tidy()
         rows = list(_rows(batches, 2, 3))
         if not rows:
             return
         key, table = _read(rows, 2)
+        del rows
         key, c0, c1 = _sum_by(key, table[:, 0], table[:, 1])
         e0, e1 = np.maximum(c0 - BIGRAM_DISCOUNT, 0), np.maximum(c1 - BIGRAM_DISCOUNT, 0)
         often = (e0 > 0) | (e1 > 0)
@@ -139,6 +139,7 @@ def _sum_pairs(owners: int):
 
 
 def _sum_words(batches):
+    K.tidy()
     by: dict[tuple[int, int], list] = {}
     for part, kind, key, counts in _rows(batches, 0, 1, 2, 3):
         by.setdefault((part, kind), []).append((key, counts))
