@@ -15,8 +15,10 @@ its most telling words, so that a remark in a long text isn't averaged away.  A
 logistic curve fitted on labelled rows that the models haven't seen turns the
 evidence into a score from 0 to 1.
 
-Counts cover every labelled training row.  Words are kept as buckets of a fixed
-table, so a model has the same size (20 MB) whatever the corpus.
+Counts cover every labelled training row.  Words and bigrams are kept in two tables
+of fixed size each, under two hashes, and the smaller count holds: a rare word only
+borrows a frequent one's counts if both hashes agree.  So a model has the same size
+(some 40 MB) whatever the corpus.
 """
 
 from __future__ import annotations
@@ -37,23 +39,31 @@ CURVE_ROWS = 20_000
 TELLING = 5
 THRESHOLD = 0.7
 BLOCKS = 64
+#: Columns by kind of count: bigrams (1, 4: under either hash), contexts (2), words (3, 5).
+WIDTH = {1: 2, 2: 4, 3: 3, 4: 2, 5: 3}
 
 
 def _words(batch_text: pa.Array):
-    """For slices of a text column: (bucket of each word, bucket of the word before it, words before each bound)."""
+    """For slices of a text column: (two buckets of each word, bucket of the word before it, words before each bound)."""
     data, bounds = K.column(batch_text)
     for first, last in K.slices(bounds):
         d = K.LOWER[data[bounds[first] : bounds[last]]]
         start, end, per = K.word_spans(d, bounds[first : last + 1] - bounds[first], K.SIGN)
-        w = np.maximum((K.word_hashes(d, start, end) >> np.uint64(64 - WORD_BITS)).astype(np.int64), 1)
+        h = K.word_hashes(d, start, end)
+        w = np.maximum((h >> np.uint64(64 - WORD_BITS)).astype(np.int64), 1)
+        w2 = (h & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
         v = np.empty_like(w)
         v[1:] = w[:-1]
         v[per[:-1][per[:-1] < len(w)]] = 0  # the beginning of a text, no word's bucket
-        yield first, last, w, v, per
+        yield first, last, w, w2, v, per
 
 
-def _bucket(pair: np.ndarray) -> np.ndarray:
-    return (K.scramble(pair.astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+def _pair(v: np.ndarray, w: np.ndarray, w2: np.ndarray) -> np.ndarray:
+    return (v << WORD_BITS | w) << WORD_BITS | w2
+
+
+def _bucket(pair: np.ndarray, table: int = 0) -> np.ndarray:
+    return (K.scramble(pair.astype(np.uint64) ^ np.uint64(0xA0761D6478BD642F * table)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
 
 def _sum_by(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -91,8 +101,8 @@ def _count_pairs(owners: int):
 
         for batch in batches:
             label = batch.column(1).to_numpy(zero_copy_only=False) > 0
-            for first, last, w, v, per in _words(batch.column(0)):
-                keys.append((v << WORD_BITS | w) << 1 | np.repeat(label[first:last], np.diff(per)))
+            for first, last, w, w2, v, per in _words(batch.column(0)):
+                keys.append(_pair(v, w, w2) << 1 | np.repeat(label[first:last], np.diff(per)))
                 held += len(w)
                 if held > 1 << 21:
                     yield flush()
@@ -129,11 +139,14 @@ def _sum_pairs(owners: int):
         bucket, b0, b1 = _sum_by(_bucket(key[often]), e0[often], e1[often])
         if len(bucket):
             yield _parts(np.full(len(bucket), BLOCKS), 1, bucket, b0, b1)
-        v, w = key >> WORD_BITS, key & ((1 << WORD_BITS) - 1)
+            bucket, b0, b1 = _sum_by(_bucket(key[often], 1), e0[often], e1[often])
+            yield _parts(bucket >> (PAIR_BITS - 6), 4, bucket, b0, b1)
+        v, w = key >> 2 * WORD_BITS, key >> WORD_BITS & ((1 << WORD_BITS) - 1)
         v, *sums = _sum_by(v, c0, c1, np.minimum(c0, BIGRAM_DISCOUNT), np.minimum(c1, BIGRAM_DISCOUNT))
         yield _parts(v >> (WORD_BITS - 6), 2, v, *sums)
-        w, *sums = _sum_by(w, c0 > 0, c1 > 0, np.ones(len(key)))
-        yield _parts(w >> (WORD_BITS - 6), 3, w, *sums)
+        for kind, word in ((3, w), (5, key & ((1 << WORD_BITS) - 1))):
+            word, *sums = _sum_by(word, c0 > 0, c1 > 0, np.ones(len(key)))
+            yield _parts(word >> (WORD_BITS - 6), kind, word, *sums)
 
     return over
 
@@ -144,7 +157,7 @@ def _sum_words(batches):
     for part, kind, key, counts in _rows(batches, 0, 1, 2, 3):
         by.setdefault((part, kind), []).append((key, counts))
     for (part, kind), rows in by.items():
-        key, table = _read(rows, {2: 4, 3: 3}[kind])
+        key, table = _read(rows, WIDTH[kind])
         key, *sums = _sum_by(key, *table.T)
         yield _parts(np.full(len(key), part), kind, key, *sums)
 
@@ -159,35 +172,36 @@ class Model:
 
     def __init__(self, rows):
         words, pairs = 1 << WORD_BITS, 1 << PAIR_BITS
-        self.pair = np.zeros((pairs, 2), np.float32)
-        context = np.zeros((words, 4), np.float64)
-        word = np.zeros((words, 3), np.float64)
+        size = {1: pairs, 2: words, 3: words, 4: pairs, 5: words}
+        t = {k: np.zeros((n, WIDTH[k]), np.float32) for k, n in size.items()}
         for kind, key, counts in rows:
             at = np.frombuffer(key, np.int64)
-            {1: self.pair, 2: context, 3: word}[kind][at] = np.frombuffer(counts, np.int64).reshape(len(at), -1)
-        types = np.maximum(word.sum(0), 1.0)
-        shared = (word[:, 2] + 0.5) / (types[2] + 0.5 * words)
-        self.word = np.empty((words, 2), np.float32)
-        self.total = np.empty((words, 2), np.float32)
-        self.back = np.empty((words, 2), np.float32)
-        for c in (0, 1):
-            self.word[:, c] = np.maximum(word[:, c] - WORD_DISCOUNT, 0) / types[c] + np.minimum(word[:, c], WORD_DISCOUNT).sum() / types[c] * shared
-            self.total[:, c] = np.maximum(context[:, c], 1)
-            self.back[:, c] = np.where(context[:, c] > 0, context[:, 2 + c] / self.total[:, c], 1.0)
-
-    def ratios(self, w: np.ndarray, v: np.ndarray) -> np.ndarray:
+            t[kind][at] = np.frombuffer(counts, np.int64).reshape(len(at), -1)
+        self.pairs, self.words = (t[1], t[4]), (t[3], t[5])
+        sums = t[3].sum(0, dtype=np.float64)
+        self.types = np.maximum(sums, 1.0)
+        # the mass that each class leaves to the shared level, and that level's normaliser
+        self.left = np.minimum(t[3][:, :2], WORD_DISCOUNT).sum(0, dtype=np.float64) / self.types[:2]
+        self.shared = self.types[2] + 0.5 * words
+        self.total = np.maximum(t[2][:, :2], 1)
+        self.back = np.where(t[2][:, :2] > 0, t[2][:, 2:] / self.total, 1).astype(np.float32)
+
+    def ratios(self, w: np.ndarray, w2: np.ndarray, v: np.ndarray) -> np.ndarray:
         """log p_toxic(w | v) - log p_ordinary(w | v) of each word."""
-        seen = self.pair[_bucket(v << WORD_BITS | w)]
+        n = np.minimum(self.words[0][w], self.words[1][w2])
+        word = np.maximum(n[:, :2] - WORD_DISCOUNT, 0) / self.types[:2] + self.left * ((n[:, 2:] + 0.5) / self.shared)
+        pair = _pair(v, w, w2)
+        seen = np.minimum(self.pairs[0][_bucket(pair)], self.pairs[1][_bucket(pair, 1)])
         total = self.total[v]
-        p = np.minimum(seen, total) / total + self.back[v] * self.word[w]
+        p = np.minimum(seen, total) / total + self.back[v] * word
         p = np.log(np.maximum(p, 1e-30))
         return (p[:, 1] - p[:, 0]).astype(np.float64)
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
         """A row for each text: mean log ratio, mean of its most telling words' ratios, log of its length, 1."""
         out = []
-        for first, last, w, v, per in _words(texts):
-            r, n = self.ratios(w, v), np.diff(per)
+        for first, last, w, w2, v, per in _words(texts):
+            r, n = self.ratios(w, w2, v), np.diff(per)
             total = np.r_[0.0, np.cumsum(r)]
             mean = (total[per[1:]] - total[per[:-1]]) / np.maximum(n, 1)
             # the largest ratio of each distinct word once, so that repeating a rare word isn't evidence
