@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Severities from worst to mildest.
 SEVERITIES = ("error", "warn", "info")
@@ -105,7 +106,7 @@ def score_bar(score: Column) -> Column:
     return F.concat(F.repeat(F.lit("█"), full), F.repeat(F.lit("░"), 30 - full))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def fnv1a(values: pa.Array) -> pa.Array:
     """64-bit FNV-1a of UTF-8 text as 16 hex digits; wraps around, which JVM arithmetic in ANSI mode may not."""
     out = []

@@ -322,6 +322,23 @@ def q_fnv1a(spark, d):
     return values(spark, [("",), ("a",)], "input string").select("input", X.fnv1a("input").alias("hash"))
 
 
+@query(f"""WITH l AS (SELECT doc_id, source, CAST({_LINES} AS INT) AS n FROM documents),
+x AS (SELECT doc_id, source, md5(text) AS k FROM documents),
+d AS (SELECT a.doc_id, a.source FROM x a WHERE EXISTS (SELECT 1 FROM x b WHERE b.k = a.k AND b.source <> a.source)),
+f AS (SELECT 'max-length' AS rule, 'warn' AS severity, source AS file, doc_id, 41 AS line FROM l WHERE n > 40
+  UNION ALL SELECT 'duplicate', 'error', source, doc_id, 1 FROM d)
+SELECT * FROM f""")
+def flagship(spark, d):
+    """Long and duplicated documents as findings, with settings applied, in the report's order; no Python in the plan."""
+    docs = t(spark, d, "documents")
+    long = docs.filter(X.line_count(F.col("text")) > 40).select(F.lit("max-length").alias("rule"), F.lit("info").alias("severity"), F.col("source").alias("file"), "doc_id", F.lit(41).alias("line"))
+    x = docs.select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("k"))
+    dup = R.first_partner(x, ["k"], "source", "doc_id").filter("partner_order is not null")
+    dup = dup.select(F.lit("duplicate").alias("rule"), F.lit("error").alias("severity"), F.col("source").alias("file"), "doc_id", F.lit(1).alias("line"))
+    found = R.override(long.unionByName(dup), values(spark, [("max-length", "warning"), ("other", "off")], "rule string, setting string"))
+    return R.sorted_findings(found, "doc_id")
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
