@@ -38,7 +38,8 @@ CURVE_ROWS = 20_000
 #: Words that count as most telling.
 TELLING = 5
 THRESHOLD = 0.7
-BLOCKS = 64
+BLOCK_BITS = 8
+BLOCKS = 1 << BLOCK_BITS
 #: Columns by kind of count: bigrams (1, 4: under either hash), contexts (2), words (3, 5).
 WIDTH = {1: 2, 2: 4, 3: 3, 4: 2, 5: 3}
 
@@ -140,13 +141,13 @@ def _sum_pairs(owners: int):
         if len(bucket):
             yield _parts(np.full(len(bucket), BLOCKS), 1, bucket, b0, b1)
             bucket, b0, b1 = _sum_by(_bucket(key[often], 1), e0[often], e1[often])
-            yield _parts(bucket >> (PAIR_BITS - 6), 4, bucket, b0, b1)
+            yield _parts(bucket >> (PAIR_BITS - BLOCK_BITS), 4, bucket, b0, b1)
         v, w = key >> 2 * WORD_BITS, key >> WORD_BITS & ((1 << WORD_BITS) - 1)
         v, *sums = _sum_by(v, c0, c1, np.minimum(c0, BIGRAM_DISCOUNT), np.minimum(c1, BIGRAM_DISCOUNT))
-        yield _parts(v >> (WORD_BITS - 6), 2, v, *sums)
+        yield _parts(v >> (WORD_BITS - BLOCK_BITS), 2, v, *sums)
         for kind, word in ((3, w), (5, key & ((1 << WORD_BITS) - 1))):
             word, *sums = _sum_by(word, c0 > 0, c1 > 0, np.ones(len(key)))
-            yield _parts(word >> (WORD_BITS - 6), kind, word, *sums)
+            yield _parts(word >> (WORD_BITS - BLOCK_BITS), kind, word, *sums)
 
     return over
 
