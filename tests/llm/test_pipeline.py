@@ -4,9 +4,11 @@ from itertools import combinations
 
 import pytest
 
+import corpus_pipeline as pipeline
+
 from tests.llm.test_operators import shingles
 
-pipeline = pytest.importorskip("corpus_pipeline")
+
 
 
 @pytest.fixture(scope="module")
