@@ -33,7 +33,7 @@ from astrel.llm import _spark as S
 
 WORD_BITS, PAIR_BITS = 19, 20
 BIGRAM_DISCOUNT, WORD_DISCOUNT = 20, 2
-#: Most labelled rows on which the curve is fitted, taken by hash of doc_id; the models themselves use all rows.
+#: Labelled rows on which the curve is fitted at most (but for chance), taken by hash of doc_id; the models themselves use all rows.
 CURVE_ROWS = 20_000
 #: Words that count as most telling.
 TELLING = 5
@@ -241,8 +241,11 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, np.ndarray]:
     fold = _fold(F.col("doc_id"))
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).dropna().filter(fold % 3 != 1)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = S.text_ids(docs).join(S.small(known), "doc_id").select("text", "toxic", "doc_id")
     for_curve = F.floor(fold / 3) % 4 == 0
+    # about CURVE_ROWS of the rows kept for the curve: all whose hash lies below a bound, so that no task gathers candidates
+    share = min(1.0, CURVE_ROWS / max(known.filter(for_curve).count(), 1))
+    sampled = for_curve & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = S.text_ids(docs).join(S.small(known), "doc_id").select("text", "toxic", "doc_id")
     owners = min(S.partitions(docs.select("text")), 1 << 12)
     pairs = rows.filter(~for_curve).select("text", "toxic").mapInArrow(_count_pairs(owners), _PARTS)
     sums = S.written(pairs.repartitionById(owners, F.col("part")).mapInArrow(_sum_pairs(owners), _PARTS), "kind")
@@ -257,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, np.ndarray]:
         x = shared.value.evidence(batch.column(0))
         yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
-    held = S.map_arrow(rows.filter(for_curve).orderBy(F.xxhash64("doc_id")).limit(CURVE_ROWS).select("text", "toxic"), evidence, "x array<double>, toxic int").collect()
+    held = S.map_arrow(rows.filter(sampled).select("text", "toxic"), evidence, "x array<double>, toxic int").collect()
     y = np.array([float(r.toxic > 0) for r in held])
     if len(set(y.tolist())) < 2:  # nothing to fit: no evidence either way
         return shared, np.zeros(5)
