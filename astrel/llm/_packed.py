@@ -43,6 +43,30 @@ def pack(owners: int, kind: int, h: np.ndarray, doc: np.ndarray, pos: np.ndarray
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _FIELDS, strict=True)], names=[n for n, _ in _FIELDS])
 
 
+class Packer:
+    """Gathers fingerprints of several slices before they are packed, so that messages stay long when owners are many."""
+
+    def __init__(self, owners: int, kind: int, short: bool):
+        self.owners, self.kind, self.short = owners, kind, short
+        self.limit = min(max(32 * owners, 1 << 17), 1 << 22)
+        self.parts: list[tuple] = []
+        self.held = self.base = 0
+
+    def add(self, h: np.ndarray, doc: np.ndarray, pos: np.ndarray, docs: np.ndarray):
+        if len(h):
+            self.parts.append((h, doc + self.base, pos, docs))
+            self.base += len(docs)
+            self.held += len(h)
+            if self.held >= self.limit:
+                yield from self.flush()
+
+    def flush(self):
+        if self.parts:
+            h, doc, pos, docs = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            self.parts, self.held, self.base = [], 0, 0
+            yield pack(self.owners, self.kind, h, doc, pos, docs, self.short)
+
+
 class Inbox:
     """What one owner task received: messages by kind, each as whole arrays."""
 

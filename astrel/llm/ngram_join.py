@@ -100,6 +100,7 @@ def _send(owners: int):
     """Prefixes of batch(cid, n, prefix) to the owners of their n-grams."""
 
     def over(batches):
+        out = P.Packer(owners, 0, False)
         for batch in batches:
             ids = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1).astype(np.int64)
             raw = batch.column(2).to_pylist()
@@ -107,8 +108,8 @@ def _send(owners: int):
             for first, last in K.slices(np.r_[0, np.cumsum(size * 8)], 1 << 22):
                 h = np.frombuffer(b"".join(raw[first:last]), np.uint64)
                 doc = np.repeat(np.arange(last - first), size[first:last])
-                if len(h):
-                    yield P.pack(owners, 0, h, doc, np.zeros(len(h), np.int64), ids[first:last], False)
+                yield from out.add(h, doc, np.zeros(len(h), np.int64), ids[first:last])
+        yield from out.flush()
 
     return over
 

@@ -44,6 +44,7 @@ def _docs(batch: pa.RecordBatch) -> np.ndarray:
 
 def _send_blocks(owners: int, block: int, window: int):
     def over(batches):
+        blocks, probes = P.Packer(owners, 0, True), P.Packer(owners, 1, True)
         for batch in batches:
             ids = _docs(batch)
             for first, last, d, start, end, per in _tokens(batch):
@@ -53,11 +54,11 @@ def _send_blocks(owners: int, block: int, window: int):
                 at = K.runs(per[:-1], count)
                 doc = np.repeat(np.arange(last - first), count)
                 pos = at - per[doc]
-                if not len(at):
-                    continue
-                yield P.pack(owners, 1, h[at], doc, pos, ids[first:last], True)
+                yield from probes.add(h[at], doc, pos, ids[first:last])
                 ref = pos % block == 0
-                yield P.pack(owners, 0, h[at[ref]], doc[ref], pos[ref], ids[first:last], True)
+                yield from blocks.add(h[at[ref]], doc[ref], pos[ref], ids[first:last])
+        yield from blocks.flush()
+        yield from probes.flush()
 
     return over
 
@@ -104,6 +105,7 @@ def _send_windows(owners: int, block: int, window: int):
     """Fingerprints of the windows around the anchors of batch(doc, key, text, spans)."""
 
     def over(batches):
+        out = P.Packer(owners, 0, False)
         for batch in batches:
             ids, spans = _docs(batch), batch.column(3).to_pylist()
             for first, last, d, start, end, per in _tokens(batch):
@@ -120,7 +122,8 @@ def _send_windows(owners: int, block: int, window: int):
                 doc = np.repeat(np.arange(last - first), [len(s) for s in starts])
                 pos = np.concatenate(starts) if starts else np.zeros(0, np.int64)
                 if len(pos):
-                    yield P.pack(owners, 0, h[per[doc] + pos], doc, pos, ids[first:last], False)
+                    yield from out.add(h[per[doc] + pos], doc, pos, ids[first:last])
+        yield from out.flush()
 
     return over
 
