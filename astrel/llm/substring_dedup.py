@@ -97,12 +97,31 @@ def _match_blocks(batches):
     yield from _spans_by_doc(bdocs, bindex[ref], bpos[ref])
 
 
-def _positions(spans: list[bytes] | None) -> np.ndarray:
-    return np.unique(np.frombuffer(b"".join(spans), np.int32)).astype(np.int64) if spans else np.zeros(0, np.int64)
+def _merged(before: int, after: int):
+    """The positions of batch(doc, key, spans list), each as the range [p - before, p + after), as merged ranges: int32 pairs."""
+
+    def over(batches):
+        for batch in batches:
+            out = []
+            for spans in batch.column(2).to_pylist():
+                p = np.unique(np.frombuffer(b"".join(spans), np.int32))
+                first, end = np.maximum(p - before, 0), p + after
+                new = np.r_[True, first[1:] > end[:-1]]
+                out.append(np.stack([first[new], end[np.r_[new[1:], True]]], 1).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc", "key", "spans"])
+
+    return over
+
+
+def _ranges(spans: bytes | None, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of merged ranges, cut to n."""
+    r = np.frombuffer(spans or b"", np.int32).reshape(-1, 2).astype(np.int64)
+    first, end = np.minimum(r[:, 0], n), np.minimum(r[:, 1], n)
+    return first, end
 
 
 def _send_windows(owners: int, block: int, window: int):
-    """Fingerprints of the windows around the anchors of batch(doc, key, text, spans)."""
+    """Fingerprints of the windows that start in the ranges of batch(doc, key, text, spans)."""
 
     def over(batches):
         out = P.Packer(owners, 0, False)
@@ -113,12 +132,8 @@ def _send_windows(owners: int, block: int, window: int):
                 starts = []
                 for i in range(first, last):
                     n = int(per[i - first + 1] - per[i - first]) - window + 1
-                    mark = np.zeros(max(n, 0) + 1, np.int64)
-                    p = _positions(spans[i])
-                    if n > 0 and len(p):  # windows [p - (window - block), p] contain the anchor at p
-                        np.add.at(mark, np.clip(p - (window - block), 0, n), 1)
-                        np.add.at(mark, np.clip(p + 1, 0, n), -1)
-                    starts.append(np.flatnonzero(np.cumsum(mark[:-1]) > 0))
+                    a, z = _ranges(spans[i], max(n, 0))
+                    starts.append(K.runs(a, z - a))
                 doc = np.repeat(np.arange(last - first), [len(s) for s in starts])
                 pos = np.concatenate(starts) if starts else np.zeros(0, np.int64)
                 if len(pos):
@@ -151,10 +166,9 @@ def _cut(window: int):
                 for i in range(first, last):
                     a, b = int(per[i - first]), int(per[i - first + 1])
                     gone = np.zeros(b - a + 1, np.int64)
-                    p = _positions(spans[i])
-                    if len(p):
-                        np.add.at(gone, np.clip(p, 0, b - a), 1)
-                        np.add.at(gone, np.clip(p + window, 0, b - a), -1)
+                    for x, z in zip(*_ranges(spans[i], b - a), strict=True):
+                        gone[x] += 1
+                        gone[z] -= 1
                     keep = np.flatnonzero(np.cumsum(gone)[:-1] == 0) + a
                     words.append(b - a)
                     removed.append(b - a - len(keep))
@@ -188,12 +202,15 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     owners = S.partitions(texts)
     anchors = texts.select("doc", "key", "text").mapInArrow(_send_blocks(owners, block, window), P.MESSAGE)
     anchors = anchors.repartitionById(owners, F.col("owner")).mapInArrow(_match_blocks, _HITS)
-    anchors = S.written(anchors.groupBy("doc", "key").agg(F.collect_list("spans").alias("spans")))
-    around = texts.select("doc", "key", "text").join(S.small(anchors, 200_000), ["doc", "key"])
+    # windows [p - (window - block), p] contain the anchor at p
+    anchors = anchors.groupBy("doc", "key").agg(F.collect_list("spans").alias("spans"))
+    anchors = S.written(anchors.mapInArrow(_merged(window - block, 1), _HITS))
+    around = texts.select("doc", "key", "text").join(S.small(anchors), ["doc", "key"])
     found = around.mapInArrow(_send_windows(owners, block, window), P.MESSAGE)
     found = found.repartitionById(owners, F.col("owner")).mapInArrow(_match_windows, _HITS)
-    found = S.written(found.groupBy("doc", "key").agg(F.collect_list("spans").alias("spans")))
-    cut = texts.join(S.small(found, 200_000), ["doc", "key"], "left").select("doc", "key", "text", "spans", "doc_id")
+    found = found.groupBy("doc", "key").agg(F.collect_list("spans").alias("spans"))
+    found = S.written(found.mapInArrow(_merged(0, window), _HITS))
+    cut = texts.join(S.small(found), ["doc", "key"], "left").select("doc", "key", "text", "spans", "doc_id")
     return cut.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
