@@ -30,6 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in this application's part of the shared folder."""
+    return f"{shared_dir(spark)}/astrel/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, *parts: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, prunes columns.
 
@@ -37,7 +42,7 @@ def written(df: DataFrame, *parts: str) -> DataFrame:
     removes that folder with the application, or release() does.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/astrel/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     writer = df.write
     (writer.partitionBy(*parts) if parts else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,68 +3,69 @@
 Two bigram models, of toxic and of ordinary labelled texts, are interpolated with
 absolute discounting down to a level that both share:
 
-    p_c(w | v) = (c_c(v w) - D)+ / c_c(v .)  +  sum of min(c_c(v .), D) / c_c(v .) * p_c(w)
-    p_c(w)     = (n_c(. w) - E)+ / n_c(. .)  +  sum of min(n_c(. w), E) / n_c(. .) * p(w)
-    p(w)       = (n(. w) + 1/2) / (n(. .) + W/2)
+    p_c(w | v) = (c_c(v w) - D_c)+ / c_c(v .)  +  D_c n_c(v .) / c_c(v .) * p_c(w)
+    p_c(w)     = (n_c(. w) - E_c)+ / n_c(. .)  +  E_c W_c / n_c(. .) * p(w)
+    p(w)       = (n(. w) + 1/2) / (n(. .) + (W + 1)/2)
 
 n counts distinct neighbours, so an expression that only occurs in copies of one
-text stays rare and is left to the shared level.  Discounts take all of a rare
-expression's own count: it counts as a neighbour but is otherwise left to the lower levels.  A text's evidence is the
+text stays rare and is left to the shared level; W counts distinct words.  The
+discounts are fixed.  A text's evidence is the
 difference of its length-normalised log-likelihoods: over the whole text, and over
 its most telling words, so that a remark in a long text isn't averaged away.  A
-logistic curve fitted on labelled rows that the models haven't seen turns the
-evidence into a score from 0 to 1.
+logistic curve turns the evidence into a score from 0 to 1.  It is fitted on a
+sample of a quarter of the training rows, which is kept apart.
 
-Counts cover every labelled training row.  Words and bigrams are kept in two tables
-of fixed size each, under two hashes, and the smaller count holds: a rare word only
-borrows a frequent one's counts if both hashes agree.  So a model has the same size
-(some 40 MB) whatever the corpus.
+Counts are exact for 64-bit fingerprints.
+They are tables sorted by fingerprint in the shared folder, one file for each
+hash range, that grow with the input; workers look keys up in mapped files, so
+neither the driver nor a worker ever holds the model.
 """
 
 from __future__ import annotations
 
+import io
+import tempfile
+import uuid
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from astrel.llm import _kernel as K
 from astrel.llm import _spark as S
 
-WORD_BITS, PAIR_BITS = 19, 20
-BIGRAM_DISCOUNT, WORD_DISCOUNT = 20, 2
-#: Labelled rows on which the curve is fitted at most (but for chance), taken by hash of doc_id; the models themselves use all rows.
+#: Labelled rows on which the curve is fitted at most (but for chance), taken by hash of doc_id; the models count three quarters of the rows.
 CURVE_ROWS = 20_000
 #: Words that count as most telling.
 TELLING = 5
+#: Sightings at which a ratio counts half as telling: one that rests on a single sighting is mostly chance.
+SUPPORT = 10.0
+FEATURES = 7
 THRESHOLD = 0.7
-BLOCK_BITS = 8
-BLOCKS = 1 << BLOCK_BITS
-#: Columns by kind of count: bigrams (1, 4: under either hash), contexts (2), words (3, 5).
-WIDTH = {1: 2, 2: 4, 3: 3, 4: 2, 5: 3}
 
 
 def _words(batch_text: pa.Array):
-    """For slices of a text column: (two buckets of each word, bucket of the word before it, words before each bound)."""
+    """For slices of a text column: (fingerprint of each word, of the word before it, words before each bound)."""
     data, bounds = K.column(batch_text)
     for first, last in K.slices(bounds):
         d = K.LOWER[data[bounds[first] : bounds[last]]]
         start, end, per = K.word_spans(d, bounds[first : last + 1] - bounds[first], K.SIGN)
-        h = K.word_hashes(d, start, end)
-        w = np.maximum((h >> np.uint64(64 - WORD_BITS)).astype(np.int64), 1)
-        w2 = (h & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
+        w = K.word_hashes(d, start, end)
         v = np.empty_like(w)
         v[1:] = w[:-1]
-        v[per[:-1][per[:-1] < len(w)]] = 0  # the beginning of a text, no word's bucket
-        yield first, last, w, w2, v, per
+        v[per[:-1][per[:-1] < len(w)]] = 0  # the beginning of a text
+        yield first, last, w, v, per
 
 
-def _pair(v: np.ndarray, w: np.ndarray, w2: np.ndarray) -> np.ndarray:
-    return (v << WORD_BITS | w) << WORD_BITS | w2
+def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return K.scramble(v * np.uint64(0xA0761D6478BD642F) + w)
 
 
-def _bucket(pair: np.ndarray, table: int = 0) -> np.ndarray:
-    return (K.scramble(pair.astype(np.uint64) ^ np.uint64(0xA0761D6478BD642F * table)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+def _owner(key: np.ndarray, owners: int) -> np.ndarray:
+    """Owners hold equal hash ranges, in the order of the keys."""
+    return (((key >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)).astype(np.int64)
 
 
 def _sum_by(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -72,95 +73,130 @@ def _sum_by(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return distinct, *(np.bincount(inverse, v, len(distinct)).astype(np.int64) for v in values)
 
 
-_PARTS = "part int, kind int, key binary, counts binary"
+_PARTS = "part int, keys binary, counts binary"
 
 
-def _parts(part: np.ndarray, kind: int, key: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
-    """Rows (part, kind, keys, values) of arrays that are cut by part."""
+def _parts(part: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Rows (part, keys, counts) of arrays (one row a key) that are cut by part."""
     order = np.argsort(part, kind="stable")
-    part, key = part[order], key[order]
-    table = np.stack([v[order] for v in values], 1).astype(np.int64)
+    part, keys, counts = part[order], keys[order], counts[order].astype(np.uint32)
     first = np.flatnonzero(np.diff(part, prepend=-1))
     cut = [*first.tolist(), len(part)]
     spans = list(zip(cut, cut[1:], strict=False))
+    # column after column, which compresses better
     return pa.RecordBatch.from_arrays(
-        [pa.array(part[first], pa.int32()), pa.array([kind] * len(first), pa.int32()), pa.array([key[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([table[a:b].tobytes() for a, b in spans], pa.binary())],
-        names=["part", "kind", "key", "counts"],
+        [pa.array(part[first], pa.int32()), pa.array([keys[a:b].T.tobytes() for a, b in spans], pa.binary()), pa.array([counts[a:b].T.tobytes() for a, b in spans], pa.binary())],
+        names=["part", "keys", "counts"],
     )
 
 
+def _read(batches, width: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = [], []
+    for b in batches:
+        for k, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            keys.append(np.frombuffer(k, np.uint64).reshape(width, -1).T)
+            counts.append(np.frombuffer(c, np.uint32).reshape(columns, -1).T)
+    if not keys:
+        return np.zeros((0, width), np.uint64), np.zeros((0, columns), np.uint32)
+    return np.concatenate(keys), np.concatenate(counts)
+
+
 def _count_pairs(owners: int):
     """Bigram counts by class of batch(text, toxic), summed in the task."""
 
     def over(batches):
-        keys, held = [], 0
+        held, size = [], 0
 
         def flush():
-            both, times = np.unique(np.concatenate(keys), return_counts=True)  # the class is the last bit
-            key, c0, c1 = _sum_by(both >> 1, times * (both & 1 == 0), times * (both & 1))
-            return _parts(_bucket(key) * owners >> PAIR_BITS, 0, key, c0, c1)
+            v, w, toxic = (np.concatenate(x) for x in zip(*held, strict=True))
+            pair, at, inverse = np.unique(_pair(v, w), return_index=True, return_inverse=True)
+            c1 = np.bincount(inverse, toxic, len(pair))
+            return _parts(_owner(pair, owners), np.stack([v[at], w[at]], 1), np.stack([np.bincount(inverse, minlength=len(pair)) - c1, c1], 1))
 
         for batch in batches:
             label = batch.column(1).to_numpy(zero_copy_only=False) > 0
-            for first, last, w, w2, v, per in _words(batch.column(0)):
-                keys.append(_pair(v, w, w2) << 1 | np.repeat(label[first:last], np.diff(per)))
-                held += len(w)
-                if held > 1 << 21:
+            for first, last, w, v, per in _words(batch.column(0)):
+                held.append((v, w, np.repeat(label[first:last], np.diff(per))))
+                size += len(w)
+                if size > 1 << 21:
                     yield flush()
-                    keys, held = [], 0
-        if held:
+                    held.clear()
+                    size = 0
+        if size:
             yield flush()
 
     return over
 
 
-def _read(rows, width: int):
-    key = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows])
-    return key, np.concatenate([np.frombuffer(r[1], np.int64).reshape(-1, width) for r in rows])
+def _put(folder: str, name: str, keys: np.ndarray, counts: np.ndarray) -> None:
+    """Keep sorted keys and their counts as two files; a repeated task replaces them by equal ones."""
+    system, path = fs.FileSystem.from_uri(folder)
+    system.create_dir(path)
+    for part, a in (("keys", keys), ("counts", counts.astype(np.uint16 if counts.max(initial=0) <= 0xFFFF else np.uint32))):
+        out = io.BytesIO()
+        np.save(out, a)
+        aside = f"{path}/.{uuid.uuid4().hex}"
+        with system.open_output_stream(aside) as f:
+            f.write(out.getbuffer())
+        system.move(aside, f"{path}/{name}.{part}.npy")
 
 
-def _rows(batches, *columns: int):
-    for b in batches:
-        yield from zip(*(b.column(i).to_pylist() for i in columns), strict=True)
+def _mapped(folder: str, name: str):
+    """The mapped array of a file, or None where there is no such file."""
+    system, path = fs.FileSystem.from_uri(folder)
+    path = f"{path}/{name}.npy"
+    if system.get_file_info(path).type == fs.FileType.NotFound:
+        return None
+    if not isinstance(system, fs.LocalFileSystem):  # map a local copy
+        with tempfile.NamedTemporaryFile(suffix=".npy") as f:
+            fs.copy_files(path, f.name, source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
+            return np.load(f.name, mmap_mode="r")
+    return np.load(path, mmap_mode="r")
+
+
+def _once_twice(counts: np.ndarray) -> list[float]:
+    return [float((counts[:, c] == k).sum()) for c in (0, 1) for k in (1, 2)]
 
 
-def _sum_pairs(owners: int):
-    """Owner of a range of bigram buckets: their counts, and what its bigrams add to contexts and words."""
+def _sum_pairs(owners: int, folder: str):
+    """Owner of a range of bigrams: keeps their counts and hands on what they add to contexts and words."""
 
     def over(batches):
         K.tidy()
-        rows = list(_rows(batches, 2, 3))
-        if not rows:
+        keys, counts = _read(batches, 2, 2)
+        if not len(keys):
             return
-        key, table = _read(rows, 2)
-        del rows
-        key, c0, c1 = _sum_by(key, table[:, 0], table[:, 1])
-        e0, e1 = np.maximum(c0 - BIGRAM_DISCOUNT, 0), np.maximum(c1 - BIGRAM_DISCOUNT, 0)
-        often = (e0 > 0) | (e1 > 0)
-        bucket, b0, b1 = _sum_by(_bucket(key[often]), e0[often], e1[often])
-        if len(bucket):
-            yield _parts(np.full(len(bucket), BLOCKS), 1, bucket, b0, b1)
-            bucket, b0, b1 = _sum_by(_bucket(key[often], 1), e0[often], e1[often])
-            yield _parts(bucket >> (PAIR_BITS - BLOCK_BITS), 4, bucket, b0, b1)
-        v, w = key >> 2 * WORD_BITS, key >> WORD_BITS & ((1 << WORD_BITS) - 1)
-        v, *sums = _sum_by(v, c0, c1, np.minimum(c0, BIGRAM_DISCOUNT), np.minimum(c1, BIGRAM_DISCOUNT))
-        yield _parts(v >> (WORD_BITS - BLOCK_BITS), 2, v, *sums)
-        for kind, word in ((3, w), (5, key & ((1 << WORD_BITS) - 1))):
-            word, *sums = _sum_by(word, c0 > 0, c1 > 0, np.ones(len(key)))
-            yield _parts(word >> (WORD_BITS - BLOCK_BITS), kind, word, *sums)
+        pair, at, inverse = np.unique(_pair(keys[:, 0], keys[:, 1]), return_index=True, return_inverse=True)
+        v, w = keys[at].T
+        c0, c1 = (np.bincount(inverse, counts[:, i], len(pair)).astype(np.int64) for i in (0, 1))
+        _put(folder, f"pairs-{int(_owner(pair[:1], owners)[0])}", pair, np.stack([c0, c1], 1))
+        both, n = np.r_[v, w], len(pair)
+        # n_0, n_1, n of a word after others, c_0, c_1, n_0, n_1 of it before others
+        seen0, seen1, zero = c0 > 0, c1 > 0, np.zeros(n)
+        word, *sums = _sum_by(both, *(np.r_[a, b] for a, b in ((zero, seen0), (zero, seen1), (zero, np.ones(n)), (c0, zero), (c1, zero), (seen0, zero), (seen1, zero))))
+        batch = _parts(_owner(word, owners), word[:, None], np.stack(sums, 1))
+        stats = pa.array([_once_twice(np.stack([c0, c1], 1)), *[None] * (len(batch) - 1)], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, stats], names=["part", "keys", "counts", "stats"])
 
     return over
 
 
-def _sum_words(batches):
-    K.tidy()
-    by: dict[tuple[int, int], list] = {}
-    for part, kind, key, counts in _rows(batches, 0, 1, 2, 3):
-        by.setdefault((part, kind), []).append((key, counts))
-    for (part, kind), rows in by.items():
-        key, table = _read(rows, WIDTH[kind])
-        key, *sums = _sum_by(key, *table.T)
-        yield _parts(np.full(len(key), part), kind, key, *sums)
+def _sum_words(owners: int, folder: str):
+    def over(batches):
+        K.tidy()
+        batches = list(batches)
+        keys, counts = _read(batches, 1, 7)
+        if not len(keys):
+            return
+        word, *sums = _sum_by(keys[:, 0], *counts.T)
+        sums = np.stack(sums, 1)
+        _put(folder, f"words-{int(_owner(word[:1], owners)[0])}", word, sums)
+        n = sums[:, :3]
+        pairs = np.sum([np.zeros(4), *(x for b in batches for x in b.column(3).to_pylist() if x)], 0)
+        stats = [pairs.tolist()], [[*_once_twice(n), *n.sum(0).tolist(), *(n > 0).sum(0).tolist()]]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())) for x in stats], names=["pairs", "words"])
+
+    return over
 
 
 def _fold(c):
@@ -168,53 +204,99 @@ def _fold(c):
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))
 
 
+def discounts(stats: np.ndarray) -> np.ndarray:
+    """Of both classes."""
+    return np.full(2, 0.75)
+
+
 class Model:
-    """Scores words from the summed counts; arrays only, so that it is cheap to broadcast."""
-
-    def __init__(self, rows):
-        words, pairs = 1 << WORD_BITS, 1 << PAIR_BITS
-        size = {1: pairs, 2: words, 3: words, 4: pairs, 5: words}
-        t = {k: np.zeros((n, WIDTH[k]), np.float32) for k, n in size.items()}
-        for kind, key, counts in rows:
-            at = np.frombuffer(key, np.int64)
-            t[kind][at] = np.frombuffer(counts, np.int64).reshape(len(at), -1)
-        self.pairs, self.words = (t[1], t[4]), (t[3], t[5])
-        sums = t[3].sum(0, dtype=np.float64)
-        self.types = np.maximum(sums, 1.0)
-        # the mass that each class leaves to the shared level, and that level's normaliser
-        self.left = np.minimum(t[3][:, :2], WORD_DISCOUNT).sum(0, dtype=np.float64) / self.types[:2]
-        self.shared = self.types[2] + 0.5 * words
-        self.total = np.maximum(t[2][:, :2], 1)
-        self.back = np.where(t[2][:, :2] > 0, t[2][:, 2:] / self.total, 1).astype(np.float32)
-
-    def ratios(self, w: np.ndarray, w2: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """log p_toxic(w | v) - log p_ordinary(w | v) of each word."""
-        n = np.minimum(self.words[0][w], self.words[1][w2])
-        word = np.maximum(n[:, :2] - WORD_DISCOUNT, 0) / self.types[:2] + self.left * ((n[:, 2:] + 0.5) / self.shared)
-        pair = _pair(v, w, w2)
-        seen = np.minimum(self.pairs[0][_bucket(pair)], self.pairs[1][_bucket(pair, 1)])
-        total = self.total[v]
-        p = np.minimum(seen, total) / total + self.back[v] * word
-        p = np.log(np.maximum(p, 1e-30))
-        return (p[:, 1] - p[:, 0]).astype(np.float64)
-
-    def evidence(self, texts: pa.Array) -> np.ndarray:
-        """A row for each text: mean log ratio, mean of its most telling words' ratios, log of its length, 1."""
+    """Scores words from the counts kept in a folder; itself it only holds sums, so that it is cheap to send."""
+
+    opened: dict = {}
+
+    def __init__(self, folder: str, owners: int, pairs: np.ndarray, words: np.ndarray):
+        self.folder, self.owners = folder, owners
+        self.pair_discount, self.word_discount = discounts(pairs), discounts(words)
+        self.types, self.distinct = words[4:7], words[7:10]
+
+    def look(self, table: str, key: np.ndarray, columns: int) -> np.ndarray:
+        """Counts of ascending keys; 0 for those that weren't counted."""
+        out = np.zeros((len(key), columns))
+        cuts = np.searchsorted(_owner(key, self.owners), np.arange(self.owners + 1))
+        for o in np.flatnonzero(np.diff(cuts)).tolist():
+            at = (self.folder, table, o)
+            if at not in self.opened:
+                if self.opened and next(iter(self.opened))[0] != self.folder:
+                    self.opened.clear()
+                self.opened[at] = [_mapped(self.folder, f"{table}-{o}.{x}") for x in ("keys", "counts")]
+            known, counts = self.opened[at]
+            if known is not None:
+                k = key[cuts[o] : cuts[o + 1]]
+                i = np.minimum(np.searchsorted(known, k), len(known) - 1)
+                hit = np.flatnonzero(known[i] == k)
+                out[cuts[o] + hit] = counts[i[hit]]
+        return out
+
+    def ratios(self, w: np.ndarray, v: np.ndarray, per: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log p_toxic(w | v) - log p_ordinary(w | v) of each word; the same, and that of p(w), shrunk where they rest on few sightings.
+
+        own: the class of each text, if the texts were counted and are to be judged without their own counts.
+        """
+        word, at = np.unique(np.r_[w, v], return_inverse=True)
+        of_w, of_v = at[: len(w)], at[len(w) :]
+        pair, of_pair = np.unique(_pair(v, w), return_inverse=True)
+        known, c = self.look("words", word, 7), self.look("pairs", pair, 2)[of_pair]
+        n, t, u = known[of_w, :3], known[of_v, 3:5], known[of_v, 5:7]
+        types = np.broadcast_to(self.types, n.shape)
+        if own is not None and len(w):
+            doc = np.repeat(np.arange(len(per) - 1), np.diff(per))
+            y = own[doc].astype(np.int64)
+            row = np.arange(len(w))
+            _, first, same, times = np.unique(doc * len(pair) + of_pair, return_index=True, return_inverse=True, return_counts=True)
+            # what the text's bigrams add: their counts, and a neighbour where no other text of the class, or of both, has them
+            alone, unique = c[first, y[first]] == times, c[first].sum(1) == times
+            for table, by in ((t, of_v), (n, of_w)):
+                _, group = np.unique(doc * len(word) + by, return_inverse=True)
+                if table is t:
+                    t[row, y] -= np.bincount(group[first], times)[group]
+                    u[row, y] -= np.bincount(group[first], alone)[group]
+                else:
+                    n[row, y] -= np.bincount(group[first], alone)[group]
+                    n[:, 2] -= np.bincount(group[first], unique)[group]
+            c[row, y] -= times[same]
+            types = types.copy()
+            types[row, y] -= np.bincount(doc[first], alone, len(own))[doc]
+            types[:, 2] -= np.bincount(doc[first], unique, len(own))[doc]
+        types = np.maximum(types, 1)
+        shared = (n[:, 2:] + 0.5) / (types[:, 2:] + 0.5 * (self.distinct[2] + 1))
+        left = np.where(self.types[:2] > 0, self.word_discount * np.maximum(self.distinct[:2], 1) / types[:, :2], 1)
+        word_p = np.maximum(n[:, :2] - self.word_discount, 0) / types[:, :2] + left * shared
+        total = np.maximum(t, 1)
+        pair_p = np.maximum(c - self.pair_discount, 0) / total
+        p = np.maximum(pair_p + np.where(t > 0, self.pair_discount * u / total, 1) * word_p, 1e-30)
+        # sightings that the toxic estimate rests on: of the bigram and of the word, by their parts in it
+        part = np.minimum(pair_p[:, 1] / p[:, 1], 1)
+        rests = part * c[:, 1] + (1 - part) * n[:, 1]
+        whole, word = (x[:, 1] - x[:, 0] for x in (np.log(p), np.log(word_p)))
+        return whole, whole * rests / (rests + SUPPORT), word * n[:, 1] / (n[:, 1] + SUPPORT)
+
+    def evidence(self, texts: pa.Array, own: np.ndarray | None = None) -> np.ndarray:
+        """A row for each text: mean log ratio; mean and largest of the most telling bigrams' and words' ratios; log of its length; 1."""
         out = []
-        for first, last, w, w2, v, per in _words(texts):
-            r, n = self.ratios(w, w2, v), np.diff(per)
-            total = np.r_[0.0, np.cumsum(r)]
-            mean = (total[per[1:]] - total[per[:-1]]) / np.maximum(n, 1)
-            # the largest ratio of each distinct word once, so that repeating a rare word isn't evidence
-            doc = np.repeat(np.arange(last - first), n)
-            order = np.lexsort((-r, doc))
-            rank = np.arange(len(r)) - per[:-1][doc]
-            top = rank < TELLING
-            best = np.bincount(doc[top], r[order][top], last - first) / np.maximum(np.minimum(n, TELLING), 1)
-            first_r = np.zeros(last - first)
-            first_r[n > 0] = r[order][per[:-1][n > 0]]
-            out.append(np.stack([mean, best, first_r, np.log1p(n), np.ones(last - first)], 1))
-        return np.concatenate(out) if out else np.zeros((0, 5))
+        for first, last, w, v, per in _words(texts):
+            whole, *telling = self.ratios(w, v, per, None if own is None else own[first:last])
+            n, docs = np.diff(per), last - first
+            total = np.r_[0.0, np.cumsum(whole)]
+            columns = [(total[per[1:]] - total[per[:-1]]) / np.maximum(n, 1)]
+            doc = np.repeat(np.arange(docs), n)
+            top = np.arange(len(w)) - per[:-1][doc] < TELLING
+            for r in telling:
+                order = np.lexsort((-r, doc))
+                largest = np.zeros(docs)
+                largest[n > 0] = r[order][per[:-1][n > 0]]
+                columns += [np.bincount(doc[top], r[order][top], docs) / np.maximum(np.minimum(n, TELLING), 1), largest]
+            out.append(np.stack([*columns, np.log1p(n), np.ones(docs)], 1))
+        return np.concatenate(out) if out else np.zeros((0, FEATURES))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -241,30 +323,27 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, np.ndarray]:
     fold = _fold(F.col("doc_id"))
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).dropna().filter(fold % 3 != 1)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # about CURVE_ROWS of the rows: all whose hash lies below a bound, so that no task gathers candidates
+    share = min(1.0, CURVE_ROWS / max(known.count(), 1))
+    sampled = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
     for_curve = F.floor(fold / 3) % 4 == 0
-    # about CURVE_ROWS of the rows kept for the curve: all whose hash lies below a bound, so that no task gathers candidates
-    share = min(1.0, CURVE_ROWS / max(known.filter(for_curve).count(), 1))
-    sampled = for_curve & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = S.text_ids(docs).join(S.small(known), "doc_id").select("text", "toxic", "doc_id")
     owners = min(S.partitions(docs.select("text")), 1 << 12)
+    folder = S.scratch(docs.sparkSession)
     pairs = rows.filter(~for_curve).select("text", "toxic").mapInArrow(_count_pairs(owners), _PARTS)
-    sums = S.written(pairs.repartitionById(owners, F.col("part")).mapInArrow(_sum_pairs(owners), _PARTS), "kind")
-    words = sums.filter("kind > 1").select("part", "kind", "key", "counts").repartitionById(BLOCKS, F.col("part")).mapInArrow(_sum_words, _PARTS)
-    # at most one row for each bucket of the fixed tables, packed: bounded whatever the corpus
-    got = [(r.kind, r.key, r.counts) for part in (sums.filter("kind = 1"), words) for r in part.select("kind", "key", "counts").collect()]
-    model = Model((k, bytes(a), bytes(b)) for k, a, b in got)
-    del got
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sums = pairs.repartitionById(owners, F.col("part")).mapInArrow(_sum_pairs(owners, folder), _PARTS + ", stats array<double>")
+    words = sums.repartitionById(owners, F.col("part")).mapInArrow(_sum_words(owners, folder), "pairs array<double>, words array<double>").collect()  # a row for each owner
+    model = Model(folder, owners, np.sum([np.zeros(4), *(r.pairs for r in words)], 0), np.sum([np.zeros(10), *(r.words for r in words)], 0))
 
     def evidence(batch):
-        x = shared.value.evidence(batch.column(0))
+        x = model.evidence(batch.column(0))
         yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
-    held = S.map_arrow(rows.filter(sampled).select("text", "toxic"), evidence, "x array<double>, toxic int").collect()
+    held = S.map_arrow(rows.filter(sampled & for_curve).select("text", "toxic"), evidence, "x array<double>, toxic int").collect()
     y = np.array([float(r.toxic > 0) for r in held])
     if len(set(y.tolist())) < 2:  # nothing to fit: no evidence either way
-        return shared, np.zeros(5)
-    return shared, fit_curve(np.array([r.x for r in held]), y)
+        return model, np.zeros(FEATURES)
+    return model, fit_curve(np.array([r.x for r in held]), y)
 
 
 def scorer(model, curve: np.ndarray):
@@ -272,7 +351,7 @@ def scorer(model, curve: np.ndarray):
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        z = np.clip(model.value.evidence(texts) @ curve, -30, 30)
+        z = np.clip(model.evidence(texts) @ curve, -30, 30)
         return pa.array(1 / (1 + np.exp(-z)))
 
     return score

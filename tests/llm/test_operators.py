@@ -204,6 +204,43 @@ def test_toxicity(spark, make, edge_rows):
     assert toxicity.toxicity(make([]), lab).count() == 0
 
 
+def _labelled(make, spark, n=240):
+    import random
+
+    r = random.Random(4)
+    data = [(i, " ".join(f"u{i}x{k}" if k % 4 == 0 else f"w{r.randrange(60)}" for k in range(24)), "a") for i in range(n)]
+    return data, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(n)], "doc_id long, toxic int")
+
+
+def _counted(data):
+    """(counts of bigrams by class, of the training rows) by brute force."""
+    import zlib
+    from collections import Counter
+
+    out = Counter(), Counter()
+    for i, t, _ in data:
+        if zlib.crc32(str(i).encode()) % 3 != 1 and zlib.crc32(str(i).encode()) // 3 % 4:
+            out[int(i % 3 == 0)].update(zip(["", *t.split()], t.split(), strict=False))
+    return out
+
+
+def _hashes(word):
+    import pyarrow as pa
+
+    return next(toxicity._words(pa.array([word])))[2]
+
+
+def test_toxicity_counts_are_exact(spark, make):
+    import numpy as np
+
+    data, labels = _labelled(make, spark)
+    model, _ = toxicity.train(make(data), labels)
+    pairs = _counted(data)
+    for v, w in [*pairs[0], *pairs[1]][::7]:
+        key = toxicity._pair(_hashes(v) if v else np.zeros(1, np.uint64), _hashes(w))
+        assert model.look("pairs", key, 2).tolist() == [[pairs[0][v, w], pairs[1][v, w]]]
+
+
 # decontamination
 
 
