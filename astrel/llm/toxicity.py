@@ -13,9 +13,9 @@ discounts are fixed.  A text's evidence is the
 difference of its length-normalised log-likelihoods: over the whole text, and over
 its most telling words, so that a remark in a long text isn't averaged away.  A
 logistic curve turns the evidence into a score from 0 to 1.  It is fitted on a
-sample of a quarter of the training rows, which is kept apart.
+bounded sample of the training rows, each without its own counts (leave-one-out).
 
-Counts are exact for 64-bit fingerprints.
+Counts cover every labelled training row and are exact for 64-bit fingerprints.
 They are tables sorted by fingerprint in the shared folder, one file for each
 hash range, that grow with the input; workers look keys up in mapped files, so
 neither the driver nor a worker ever holds the model.
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from astrel.llm import _kernel as K
 from astrel.llm import _spark as S
 
-#: Labelled rows on which the curve is fitted at most (but for chance), taken by hash of doc_id; the models count three quarters of the rows.
+#: Labelled rows on which the curve is fitted at most (but for chance), taken by hash of doc_id; the models count all rows.
 CURVE_ROWS = 20_000
 #: Words that count as most telling.
 TELLING = 5
@@ -326,20 +326,19 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, np.ndarray]:
     # about CURVE_ROWS of the rows: all whose hash lies below a bound, so that no task gathers candidates
     share = min(1.0, CURVE_ROWS / max(known.count(), 1))
     sampled = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
-    for_curve = F.floor(fold / 3) % 4 == 0
     rows = S.text_ids(docs).join(S.small(known), "doc_id").select("text", "toxic", "doc_id")
     owners = min(S.partitions(docs.select("text")), 1 << 12)
     folder = S.scratch(docs.sparkSession)
-    pairs = rows.filter(~for_curve).select("text", "toxic").mapInArrow(_count_pairs(owners), _PARTS)
+    pairs = rows.select("text", "toxic").mapInArrow(_count_pairs(owners), _PARTS)
     sums = pairs.repartitionById(owners, F.col("part")).mapInArrow(_sum_pairs(owners, folder), _PARTS + ", stats array<double>")
     words = sums.repartitionById(owners, F.col("part")).mapInArrow(_sum_words(owners, folder), "pairs array<double>, words array<double>").collect()  # a row for each owner
     model = Model(folder, owners, np.sum([np.zeros(4), *(r.pairs for r in words)], 0), np.sum([np.zeros(10), *(r.words for r in words)], 0))
 
     def evidence(batch):
-        x = model.evidence(batch.column(0))
+        x = model.evidence(batch.column(0), (batch.column(1).to_numpy(zero_copy_only=False) > 0).astype(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
-    held = S.map_arrow(rows.filter(sampled & for_curve).select("text", "toxic"), evidence, "x array<double>, toxic int").collect()
+    held = S.map_arrow(rows.filter(sampled).select("text", "toxic"), evidence, "x array<double>, toxic int").collect()
     y = np.array([float(r.toxic > 0) for r in held])
     if len(set(y.tolist())) < 2:  # nothing to fit: no evidence either way
         return model, np.zeros(FEATURES)

@@ -219,7 +219,7 @@ def _counted(data):
 
     out = Counter(), Counter()
     for i, t, _ in data:
-        if zlib.crc32(str(i).encode()) % 3 != 1 and zlib.crc32(str(i).encode()) // 3 % 4:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
             out[int(i % 3 == 0)].update(zip(["", *t.split()], t.split(), strict=False))
     return out
 
@@ -230,6 +230,17 @@ def _hashes(word):
     return next(toxicity._words(pa.array([word])))[2]
 
 
+def test_toxicity_counts_all_training_rows(spark, make):
+    import numpy as np
+
+    data, labels = _labelled(make, spark)
+    model, _ = toxicity.train(make(data), labels)
+    pairs = _counted(data)
+    words = {w for c in pairs for _, w in c}
+    h = np.sort(np.concatenate([_hashes(w) for w in words]))
+    assert (model.look("words", h, 7)[:, 2] > 0).all() and model.distinct[2] == len(words)
+
+
 def test_toxicity_counts_are_exact(spark, make):
     import numpy as np
 
@@ -241,6 +252,21 @@ def test_toxicity_counts_are_exact(spark, make):
         assert model.look("pairs", key, 2).tolist() == [[pairs[0][v, w], pairs[1][v, w]]]
 
 
+def test_toxicity_leaves_a_row_out(spark, make):
+    """A training row judged without its own counts: as by models that never saw it (but for the discounts)."""
+    import numpy as np
+    import pyarrow as pa
+
+    data, labels = _labelled(make, spark, 60)
+    model, _ = toxicity.train(make(data), labels)
+    rest, _ = toxicity.train(make(data), labels.filter("doc_id <> 0"))
+    rest.pair_discount, rest.word_discount = model.pair_discount, model.word_discount
+    text = pa.array([data[0][1]])
+    a, b = model.evidence(text, np.array([1])), rest.evidence(text)
+    # the numbers of distinct words, which are sums of the models, differ by the row's own
+    assert np.abs(a - b).max() < 0.1 < np.abs(model.evidence(text) - b).max()
+
+
 # decontamination
 
 
