@@ -9,7 +9,8 @@ absolute discounting down to a level that both share:
 
 n counts distinct neighbours, so an expression that only occurs in copies of one
 text stays rare and is left to the shared level; W counts distinct words.  The
-discounts are fixed.  A text's evidence is the
+discounts are estimated from counts of counts over all counted rows: of n1 things
+seen once and n2 seen twice, n1 / (n1 + 2 n2).  A text's evidence is the
 difference of its length-normalised log-likelihoods: over the whole text, and over
 its most telling words, so that a remark in a long text isn't averaged away.  A
 logistic curve turns the evidence into a score from 0 to 1.  It is fitted on a
@@ -205,8 +206,9 @@ def _fold(c):
 
 
 def discounts(stats: np.ndarray) -> np.ndarray:
-    """Of both classes."""
-    return np.full(2, 0.75)
+    """n1 / (n1 + 2 n2) of both classes; below 1, and 1/2 where nothing was seen once."""
+    n1, n2 = stats[:4].reshape(2, 2).T
+    return np.where(n1 > 0, n1 / np.maximum(n1 + 2 * np.maximum(n2, 1), 1), 0.5)
 
 
 class Model:

@@ -252,6 +252,15 @@ def test_toxicity_counts_are_exact(spark, make):
         assert model.look("pairs", key, 2).tolist() == [[pairs[0][v, w], pairs[1][v, w]]]
 
 
+def test_toxicity_discounts_are_estimated(spark, make):
+    data, labels = _labelled(make, spark)
+    model, _ = toxicity.train(make(data), labels)
+    for c, counts in enumerate(_counted(data)):
+        n1, n2 = (sum(x == k for x in counts.values()) for k in (1, 2))
+        assert abs(model.pair_discount[c] - n1 / (n1 + 2 * n2)) < 1e-12
+    assert (model.pair_discount < 1).all() and (model.word_discount < 1).all()
+
+
 def test_toxicity_leaves_a_row_out(spark, make):
     """A training row judged without its own counts: as by models that never saw it (but for the discounts)."""
     import numpy as np
