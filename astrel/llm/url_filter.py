@@ -6,7 +6,8 @@ tokens; it is trained on all sites of the table, labelled at first by a short li
 of seed words, so that words which keep company with the seeds count too.
 
 Counts are made once a site, so a site that holds a third of all pages weighs no
-more than another.  Both models live in tables of fixed size.
+more than another.  Both models are whole tables of counts; they are broadcast
+while they are small, else host labels' substrings and tokens are joined with them.
 """
 
 from __future__ import annotations
@@ -29,32 +30,45 @@ COMMON = (
     "farm farms house land green blue red black white sun star day time one my your our get go click page link search find local daily express digital media"
 ).split()
 SUBDOMAINS = ("www", "m", "blog", "mobile", "news", "shop")
-#: Buckets of the unigram table and of the token table: the most either model can hold.
-WORD_BUCKETS, TOKEN_BUCKETS = 1 << 18, 1 << 18
+#: Rows up to which a model is broadcast.
+MODEL_ROWS = 1 << 18
+#: Letters of the longest unknown word that is weighed as one; known words have any length.
 LONGEST_WORD = 20
+SALTS = 16
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Segmenter(dict):
     """Log probabilities of words; unknown words cost by their letters."""
 
-    def __init__(self, counts: dict[str, int]):
-        counts = dict.fromkeys([*COMMON, *SEEDS], 2) | {w: c + (2 if w in SEEDS else 0) for w, c in counts.items()}
-        self.log_total = math.log(sum(counts.values()) + 1)
-        super().__init__({w: math.log(c) - self.log_total for w, c in counts.items()})
+    def __init__(self, counts: dict[str, int], log_total: float | None = None):
+        if log_total is None:  # counts are all there are
+            counts = dict.fromkeys([*COMMON, *SEEDS], 2) | {w: c + (2 if w in SEEDS else 0) for w, c in counts.items()}
+            log_total = math.log(sum(counts.values()) + 1)
+        super().__init__({w: math.log(c) - log_total for w, c in counts.items()})
+        self.log_total = log_total
+        self.once = {w for w, c in counts.items() if c == 1}
+        self.lengths = sorted({*range(1, LONGEST_WORD + 1), *map(len, counts)}, reverse=True)
 
     def unknown(self, n: int) -> float:
         """A word that isn't in the table: rarer than any that is, the more so the longer it is."""
         return -self.log_total - 2.0 - 1.5 * n
 
-    def split(self, label: str) -> list[str]:
-        """The most probable words of a label; of equally probable ones, the longest last word."""
+    def split(self, label: str, own=()) -> list[str]:
+        """The most probable words of a label; of equally probable ones, the longest last word.
+
+        own: labels of the host itself, which are no words if no other site has them.
+        """
         n = len(label)
         best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
         for j in range(1, n + 1):
             # an unknown word may have any length, but only starts where a known one ends or at the front
-            for i in range(max(0, j - LONGEST_WORD), j):
-                s = best[i] + self.get(label[i:j], self.unknown(j - i))
+            for i in (j - k for k in self.lengths if k <= j):
+                w = label[i:j]
+                known = w in self and not (w in self.once and w in own)
+                if not known and j - i > LONGEST_WORD:
+                    continue
+                s = best[i] + (self[w] if known else self.unknown(j - i))
                 if s > best[j]:
                     best[j], back[j] = s, i
         out = []
@@ -63,11 +77,14 @@ class Segmenter(dict):
             n = back[n]
         # letters between known words that are no word themselves belong together
         words: list[str] = []
+        last_new = False
         for w in reversed(out):
-            if words and w not in self and words[-1] not in self:
+            new = w not in self or w in self.once and w in own
+            if words and new and last_new:
                 words[-1] += w
             else:
                 words.append(w)
+            last_new = new
         return words
 
 
@@ -97,6 +114,17 @@ def _rules_of(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     return found.groupBy("host").agg(F.sort_array(F.collect_set(rule)).alias("rules"))
 
 
+def _is_small(model: DataFrame) -> bool:
+    return S.input_bytes(model) <= S.BROADCAST_BYTES and model.limit(min(MODEL_ROWS, S.BROADCAST_ROWS) + 1).count() <= min(MODEL_ROWS, S.BROADCAST_ROWS)
+
+
+def _salted(rows: DataFrame, model: DataFrame, on: str, how: str) -> DataFrame:
+    """rows(host, ...) joined with a model; the model has a copy for each salt, so that no key's rows all meet in one task."""
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != on]), F.lit(SALTS)).cast("int"))
+    model = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(model, [on, "salt"], how).drop("salt")
+
+
 def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, words and block_score for each row of pages(page_id, url, ...).
 
@@ -118,44 +146,73 @@ def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
     hosts = S.written(seen.select("host").distinct())
 
     def pieces(batch):
-        out = [(h, p) for h in batch.column(0).to_pylist() for p in dict.fromkeys(_labels(h)) if 2 <= len(p) <= LONGEST_WORD]
+        out = [(h, p) for h in batch.column(0).to_pylist() for p in dict.fromkeys(_labels(h)) if len(p) >= 2]
         yield pa.RecordBatch.from_arrays([pa.array([".".join([x for x in h.split(".") if x not in SUBDOMAINS]) for h, _ in out], pa.string()), pa.array([p for _, p in out], pa.string())], names=["site", "piece"])
 
     words = S.map_arrow(hosts, pieces, "site string, piece string").distinct()
-    words = words.union(seen.filter("length(token) between 2 and 20").select("host", "token").distinct())
-    words = words.groupBy("piece").agg(F.count("*").alias("n")).filter("n >= 2")
-    words = words.groupBy(F.pmod(F.xxhash64("piece"), F.lit(WORD_BUCKETS))).agg(F.max(F.struct("n", "piece")).alias("w"))
-    segmenter = spark.sparkContext.broadcast(Segmenter({r["piece"]: r["n"] for r in words.select("w.piece", "w.n").collect()}))  # at most WORD_BUCKETS
-
-    def split(batch):
-        hs = batch.column(0).to_pylist()
-        ws = [[w for p in _labels(h) for w in segmenter.value.split(p)] for h in hs]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ws, pa.list_(pa.string()))], names=["host", "words"])
-
-    split_hosts = S.written(S.map_arrow(hosts, split, "host string, words array<string>"))
+    words = words.union(seen.filter("length(token) >= 2").select("host", "token").distinct())
+    words = words.groupBy("piece").agg(F.count("*").alias("n"))
+    listed = spark.createDataFrame([(w, 2) for w in sorted({*COMMON, *SEEDS})], "piece string, least long")
+    # common words have a count of 2 at least if no site has them; seeds two more than sites give them
+    n = F.when(F.col("n").isNull(), F.col("least")).otherwise(F.col("n") + F.when(F.col("piece").isin(*sorted(SEEDS)), 2).otherwise(0))
+    words = S.written(words.join(F.broadcast(listed), "piece", "full").select("piece", n.alias("n")))
+    log_total = math.log(words.agg(F.sum("n")).first()[0] + 1)
+    split_schema = "host string, words array<string>"
+
+    def split(h, segmenter):
+        own = _labels(h)
+        return [w for p in own for w in segmenter.split(p, own)]
+
+    if _is_small(words):
+        shared = spark.sparkContext.broadcast(Segmenter({r["piece"]: r["n"] for r in words.collect()}, log_total))
+
+        def split_all(batch):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([split(h, shared.value) for h in batch.column(0).to_pylist()], pa.list_(pa.string()))], names=["host", "words"])
+
+        split_hosts = S.written(S.map_arrow(hosts, split_all, split_schema))
+    else:
+        lengths = sorted(r[0] for r in words.select(F.length("piece")).distinct().collect())
+
+        def parts(batch):
+            for h in batch.column(0).to_pylist():
+                out = list({p[i : i + k] for p in _labels(h) for k in lengths if k <= len(p) for i in range(len(p) - k + 1)})
+                yield pa.RecordBatch.from_arrays([pa.array([h] * len(out), pa.string()), pa.array(out, pa.string())], names=["host", "piece"])
+
+        def split_known(batch):
+            hs, found = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ws = [split(h, Segmenter({x["piece"]: x["n"] for x in f or ()}, log_total)) for h, f in zip(hs, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ws, pa.list_(pa.string()))], names=["host", "words"])
+
+        known = _salted(S.map_arrow(hosts, parts, "host string, piece string"), words, "piece", "inner").groupBy("host").agg(F.collect_list(F.struct("piece", "n")).alias("known"))
+        split_hosts = S.written(S.map_arrow(hosts.join(known, "host", "left").select("host", "known"), split_known, split_schema))
     bad = F.arrays_overlap("words", F.array(*map(F.lit, sorted(SEEDS)))).alias("bad")
     tokens = split_hosts.select("host", bad, F.explode("words").alias("token")).union(seen.filter("token is not null").join(S.small(split_hosts.select("host", bad)), "host").select("host", "bad", "token"))
-    bucket = F.pmod(F.xxhash64("token"), F.lit(TOKEN_BUCKETS)).cast("int")
-    counts = tokens.distinct().groupBy(bucket.alias("bucket")).agg(F.count_if("bad").alias("b"), F.count_if(~F.col("bad")).alias("g")).collect()  # at most TOKEN_BUCKETS
+    counts = S.written(tokens.distinct().groupBy("token").agg(F.count_if("bad").alias("b"), F.count_if(~F.col("bad")).alias("g")))
     prior = split_hosts.agg(F.count_if(bad).alias("b"), F.count("*").alias("n")).first()
-    nb, ng = sum(r["b"] for r in counts), sum(r["g"] for r in counts)
-    size = len(counts) + 1
-    known = {r["bucket"]: math.log((r["b"] + 0.5) / (nb + 0.5 * size)) - math.log((r["g"] + 0.5) / (ng + 0.5 * size)) for r in counts}
+    sums = counts.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("g"), F.lit(0)).alias("g"), F.count("*").alias("n")).first()
+    size = sums["n"] + 1
+    base = math.log(sums["g"] + 0.5 * size) - math.log(sums["b"] + 0.5 * size)
     start = math.log((prior["b"] + 0.5) / (prior["n"] - prior["b"] + 0.5))
-    log_odds = spark.sparkContext.broadcast(known)
+    odds = counts.select("token", (F.log(F.col("b") + 0.5) - F.log(F.col("g") + 0.5) + base).alias("odds"))
 
     per_host = S.written(split_hosts.join(_rules_of(hosts, rules), "host", "left"))
     rows = urls.join(S.small(per_host), "host")
     fits = F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"]))
     rows = rows.withColumn("pick", F.when(F.size("rules") > 0, F.try_element_at(fits, F.lit(1))))
-    hashed = F.transform(F.concat("words", F.regexp_extract_all(F.lower("path"), F.lit(r"(\p{L}{2,})"))), lambda t: F.pmod(F.xxhash64(t), F.lit(TOKEN_BUCKETS)).cast("int"))
-    rows = rows.select("page_id", "host", "path", F.col("pick.rule").alias("rule"), F.col("pick.rule_verdict").alias("given"), "words", hashed.alias("buckets"))
-
-    def score(batch):
-        get = log_odds.value.get
-        out = [start + sum(get(b, 0.0) for b in bs) for bs in batch.column(6).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), pa.array(out, pa.float64())], names=["page_id", "host", "path", "rule", "given", "words", "block_score"])
-
-    rows = S.map_arrow(rows, score, "page_id long, host string, path string, rule string, given string, words array<string>, block_score double")
+    tokens = F.concat("words", F.regexp_extract_all(F.lower("path"), F.lit(r"(\p{L}{2,})")))
+    columns = ["page_id", "host", "path", F.col("pick.rule").alias("rule"), F.col("pick.rule_verdict").alias("given"), "words"]
+    if _is_small(counts):
+        log_odds = spark.sparkContext.broadcast({r["token"]: r["odds"] for r in odds.collect()})
+
+        def score(batch):
+            get = log_odds.value.get
+            out = [start + sum(get(t, 0.0) for t in ts) for ts in batch.column(6).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), pa.array(out, pa.float64())], names=["page_id", "host", "path", "rule", "given", "words", "block_score"])
+
+        rows = S.map_arrow(rows.select(*columns, tokens.alias("tokens")), score, "page_id long, host string, path string, rule string, given string, words array<string>, block_score double")
+    else:
+        each = rows.select("host", "path", tokens.alias("tokens")).distinct().select("host", "path", F.explode("tokens").alias("token"))
+        sums = _salted(each, odds, "token", "inner").groupBy("host", "path").agg(F.sum("odds").alias("odds"))
+        rows = rows.select(*columns).join(sums, ["host", "path"], "left").withColumn("block_score", F.coalesce("odds", F.lit(0.0)) + start)
     verdict = F.coalesce("given", F.when(F.col("block_score") > 0, "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "words", "block_score")

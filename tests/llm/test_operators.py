@@ -168,6 +168,19 @@ def test_token_counts(make, edge_rows, corpus, vocabulary):
         assert (r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) == (i, len((text or "").encode()), n, n > 512)
 
 
+def test_url_filter_keeps_all_words(spark, monkeypatch):
+    """Words of one site, and long ones, split other hosts; so do joins in place of broadcasts."""
+    long = "incomprehensibilitiesque"
+    urls = ["http://quixotry.org/a", "http://quixotryzebu.org/b", "http://zebu.org/c", f"http://{long}.org/d", f"http://{long}zebu.org/casino", "http://casinozebu.org/x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = {r["page_id"]: r for r in rows(url_filter.url_filter(pages, spark.createDataFrame([], "rule_verdict string, rule_host string, rule_path string")))}
+    assert out[1]["words"] == ["quixotry", "zebu"] and out[4]["words"] == [long, "zebu"] and out[5]["words"] == ["casino", "zebu"]
+    monkeypatch.setattr(url_filter, "MODEL_ROWS", 0)
+    again = {r["page_id"]: r for r in rows(url_filter.url_filter(pages, spark.createDataFrame([], "rule_verdict string, rule_host string, rule_path string")))}
+    for i, r in out.items():
+        assert again[i]["words"] == r["words"] and abs(again[i]["block_score"] - r["block_score"]) < 1e-9
+
+
 # toxicity
 
 
