@@ -3,7 +3,9 @@
 Words are stripped of signs at their ends and lower-cased; numbers, names
 (capitalised words inside a sentence) and units become typed placeholders.
 Windows of the resulting template are hash-joined with those of the benchmark,
-so a question with other figures or names still meets its template.  Each
+so a question with other figures or names still meets its template.  Windows of
+the lower-cased words themselves, numbers and names included, are joined beside
+them, so that a verbatim copy is found whatever its words and capitals are.  Each
 alignment of a document with an item must then use its slots consistently: one
 value of the item always stands for one value of the document.
 """
@@ -20,7 +22,7 @@ from astrel.llm import _spark as S
 
 #: Words of a template window; shorter items are one window each.
 WINDOW = 8
-#: Words of a window that must not be placeholders; windows and items with fewer are too common to tell anything.
+#: Words of a template window that must not be placeholders: with fewer it is too common to tell anything.  Items of fewer words in all aren't looked for.
 LITERAL = 4
 #: Share of an item's words that aligned windows must cover for the document to be contaminated.
 COVERAGE = 0.5
@@ -31,6 +33,8 @@ UNITS = (
     "kmh mph hz khz mhz ghz w kw kwh v volt volts watt watts j joule joules n newton newtons pa c f k degree degrees"
 ).split()
 _HIT = "h long, length int, doc_id long, key long, pos int, slots array<long>"
+#: Sets the fingerprints of verbatim windows apart from those of templates.
+_VERBATIM = 0x5BE0CD19137E2179
 _TAGS = {1: 0x1B873593CC9E2D51, 2: 0x2545F4914F6CDD1D, 3: 0x6A09E667F3BCC909}
 
 
@@ -85,21 +89,22 @@ def templates(data: np.ndarray, bounds: np.ndarray):
 
 
 def template_windows(data: np.ndarray, bounds: np.ndarray, length: int):
-    """(fingerprint, document, position, words, kinds) of the windows of so many words with enough literal ones."""
+    """(fingerprint, document, position, first word, whether a template, words, kinds) of windows of so many words: templates with enough literal words, then all verbatim ones."""
     h, own, kind, per = templates(data, bounds)
     at, count = K.starts_of_windows(per, length)
     literal = np.r_[0, np.cumsum(kind == 0)]
     doc = np.repeat(np.arange(len(count)), count)
     pos = at - per[doc]
     keep = literal[at + length] - literal[at] >= min(LITERAL, length)
-    at, doc, pos = at[keep], doc[keep], pos[keep]
-    w = K.windows(h, length)[at] if len(at) else np.zeros(0, np.uint64)
-    return w, doc, pos, at, own, kind
+    if not len(at):
+        return np.zeros(0, np.uint64), doc, pos, at, keep, own, kind
+    w = np.concatenate([K.windows(h, length)[at[keep]], K.windows(own, length, _VERBATIM)[at]])
+    return w, np.r_[doc[keep], doc], np.r_[pos[keep], pos], np.r_[at[keep], at], np.arange(len(w)) < keep.sum(), own, kind
 
 
-def _rows(w, doc, pos, at, own, kind, length, ids, keys):
+def _rows(w, doc, pos, at, template, own, kind, length, ids, keys):
     # slots are numbered by word position, so that all windows of an alignment agree on them
-    slots = [own[a : a + length][kind[a : a + length] > 0].astype(np.int64).tolist() for a in at.tolist()]
+    slots = [own[a : a + length][kind[a : a + length] > 0].astype(np.int64).tolist() if t else [] for a, t in zip(at.tolist(), template.tolist(), strict=True)]
     n = len(w)
     return pa.RecordBatch.from_arrays(
         [pa.array(w.astype(np.int64)), pa.array(np.full(n, length, np.int32)), ids.take(pa.array(doc)), keys.take(pa.array(doc)), pa.array(pos.astype(np.int32)), pa.array(slots, pa.list_(pa.int64()))],
@@ -120,13 +125,13 @@ def _windows(lengths: list[int], known):
             for first, last in K.slices(bounds):
                 d, b = data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first]
                 for length in lengths:
-                    w, doc, pos, at, own, kind = template_windows(d, b, length)
+                    w, doc, pos, at, template, own, kind = template_windows(d, b, length)
                     if table is not None:
                         some = np.flatnonzero(bits[(w >> np.uint64(44)).astype(np.int64)])
                         some = some[table[np.minimum(np.searchsorted(table, w[some]), len(table) - 1)] == w[some]]
-                        w, doc, pos, at = w[some], doc[some], pos[some], at[some]
+                        w, doc, pos, at, template = w[some], doc[some], pos[some], at[some], template[some]
                     if len(w):
-                        yield _rows(w, doc + first, pos, at, own, kind, length, batch.column(0), batch.column(1))
+                        yield _rows(w, doc + first, pos, at, template, own, kind, length, batch.column(0), batch.column(1))
 
     return over
 

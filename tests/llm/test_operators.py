@@ -311,6 +311,15 @@ def test_decontamination(spark, make, edge_rows):
     assert decontamination.decontaminate(make([]), bench).count() == 0
 
 
+def test_decontamination_finds_verbatim_copies(spark, make):
+    numbers = "Compute 12 * 7 + 5 - 3 / 2 now please"
+    names = "We saw Anna Otto Hugo Emil Ida Karl Lena Mona and Nils there"
+    bench = spark.createDataFrame([(1, numbers), (2, names)], "item_id long, text string")
+    data = [(1, f"well {numbers} yes", "a"), (2, names.lower(), "a"), (3, names.upper(), "a"), (4, "Compute 13 * 8 + 6 - 4 / 3 now please", "a")]
+    out = {r["doc_id"]: r["item_ids"] for r in rows(decontamination.decontaminate(make(data), bench))}
+    assert out == {1: [1], 2: [2], 3: [2], 4: []}
+
+
 def test_decontamination_without_broadcast(spark, make, monkeypatch):
     from astrel.llm import _spark
 
