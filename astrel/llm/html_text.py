@@ -98,6 +98,27 @@ class Element:
         self.closed_details = False
 
 
+def _below(rows):
+    """Rows of (lines, columns), with empty cells where cells (lines, columns, rows) of the rows above reach down."""
+    out, down = [], {}
+    for row in rows:
+        cells, at, left = [], 0, {c: n - 1 for c, n in down.items() if n > 1}
+        for lines, wide, high in row:
+            while at in down:
+                cells.append(([], 1))
+                at += 1
+            cells.append((lines, wide))
+            if high > 1:
+                left |= dict.fromkeys(range(at, at + wide), high - 1)
+            at += wide
+        if down and row:
+            for c in range(at, max(down) + 1):
+                cells.append(([], 1))
+        out.append(cells)
+        down = left
+    return out
+
+
 def _columns(rows: list[list[tuple[list[str], int]]]) -> list[str]:
     """Rows of (lines of a cell, columns it spans) as lines with aligned columns, two spaces apart."""
     width: list[int] = []
@@ -201,7 +222,10 @@ class Renderer:
                 table.rows.append([])
         elif tag in ("td", "th"):
             m = re.search(r"\bcolspan\s*=\s*[\"']?(\d+)", attrs, re.I)
-            e.count = min(max(int(m[1]), 1), 100) if m and len(m[1]) < 6 else 1
+            wide = min(max(int(m[1]), 1), 100) if m and len(m[1]) < 6 else 1
+            m = re.search(r"\browspan\s*=\s*[\"']?(\d+)", attrs, re.I)
+            high = min(int(m[1]), 65534) if m and len(m[1]) < 6 else 1
+            e.count = (wide, high or 65534)  # 0: all rows that follow
             e.buffer = Buffer()
             self.buffers.append(e.buffer)
         elif tag in ("li", "blockquote", "dd"):
@@ -318,10 +342,10 @@ class Renderer:
             else:
                 if not table.rows:
                     table.rows.append([])
-                table.rows[-1].append((lines, e.count or 1))
+                table.rows[-1].append((lines, *(e.count or (1, 1))))
         elif e.tag == "table":
             b.block(1)
-            whole = lines + _columns(e.rows)
+            whole = lines + _columns(_below(e.rows))
             if whole:
                 b.put(whole)
             b.block(1)

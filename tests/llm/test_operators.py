@@ -429,6 +429,13 @@ def test_segmentation_is_most_probable():
 # HTML
 
 
+def test_html_rowspan():
+    """A cell that reaches down keeps its column: as if empty cells stood below it."""
+    spans = "<table><tr><td rowspan=2>aa<td>bb<td>cc<tr><td>dd<td rowspan=0>ee<tr><td>ff<td>gg</table>"
+    cells = "<table><tr><td>aa<td>bb<td>cc<tr><td><td>dd<td>ee<tr><td>ff<td>gg<td></table>"
+    assert html_text.render(spans) == html_text.render(cells)
+
+
 def test_html_layout():
     source = """<html><head><title>A &amp; B</title><style>x{}</style></head><p>One <b>two</b>
 three<p>Four<ul><li>a<li>b<ol start=3><li>x<li>y</ol><li>c</ul>after<table><tr><th>Name<th>Qty<tr><td>apple pie<td>3<tr><td colspan=2>wide</table>
