@@ -5,15 +5,17 @@ bounds, so no Python object is made per document or per word.  Words are maximal
 runs of bytes other than space, tab, line feed, vertical tab, form feed and
 carriage return; in UTF-8 that is the same as splitting code points.
 
-A word's fingerprint is a polynomial hash modulo 2**64 read from prefix sums and
-then scrambled, so it depends on the word's bytes alone: not on the batch, the
-process or the machine.  Sequences of words are fingerprinted from the words'
-fingerprints.  All fingerprints have 64 bits.
+A word's fingerprint is chained over its bytes, eight at a time, by a scrambling
+bijection, so it depends on the word's bytes alone: not on the batch, the process
+or the machine.  Sequences of words are fingerprinted from the words'
+fingerprints by the same chain; no step is linear, so patterned words and
+sequences don't meet.  All fingerprints have 64 bits.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +24,9 @@ import pyarrow.compute as pc
 
 PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
+#: Bytes up to which words are hashed in numpy.
+LONG_WORD = 128
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -34,17 +37,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse up to n, kept between calls."""
-    if "up" not in _POWERS or len(_POWERS["up"]) <= n:
-        size = max(n + 1, PIECE + 4096)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            row = np.full(size, base, np.uint64)
-            row[0] = 1
-            _POWERS[name] = np.multiply.accumulate(row)
-    return _POWERS["up"], _POWERS["down"]
-
-
 def scramble(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every input bit."""
     h = h ^ (h >> np.uint64(30))
@@ -109,13 +101,27 @@ def word_spans(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE)
     return start, end, np.searchsorted(start, bounds)
 
 
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A fingerprint of two fingerprints in order."""
+    return scramble(a * np.uint64(_BASE) + b)
+
+
 def _hash_piece(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    up, down = _powers(len(data))
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    h = (total[end] - total[start]) * down[start]
-    return scramble(h ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    """Eight bytes at a time, each scrambled into what came before; words of over LONG_WORD bytes by a library hash."""
+    size = end - start
+    h = scramble(size.astype(np.uint64) + np.uint64(_BASE))
+    raw = np.r_[data, np.zeros(8, np.uint8)]
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    left = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    at, step = start[left], size[left]
+    while len(left):
+        lane = eight[at] & _MASKS[np.minimum(step, 8)]
+        h[left] = mix(h[left], lane)
+        more = step > 8
+        left, at, step = left[more], at[more] + 8, step[more] - 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return h
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -132,15 +138,18 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 
 def windows(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """Fingerprint of h[i : i + k] for every i; one entry fewer than k are cut at the end."""
+    """Fingerprint of h[i : i + k] for every i, put together from windows of powers of two; one entry fewer than k are cut at the end."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(h))
-    total = np.empty(len(h) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    return scramble((total[k:] - total[:-k]) * down[:n] ^ np.uint64(scramble_int(seed + k)))
+    out, at, size, block = None, 0, 1, h
+    while True:
+        if k & size:
+            part = block[at : at + n]
+            out, at = part if out is None else mix(out, part), at + size
+        if 2 * size > k:
+            return scramble(out ^ np.uint64(scramble_int(seed + k)))
+        block, size = mix(block[:-size], block[size:]), 2 * size
 
 
 def scramble_int(x: int) -> int:

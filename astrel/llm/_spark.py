@@ -67,8 +67,9 @@ def partitions(df: DataFrame) -> int:
     return n if size >= 1 << 60 else min(max(n, size // EXCHANGE_BYTES + 1), 200_000)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows and BROADCAST_BYTES, else df: AQE then joins by shuffle."""
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows (BROADCAST_ROWS) and BROADCAST_BYTES, else df: AQE then joins by shuffle."""
+    rows = BROADCAST_ROWS if rows is None else min(rows, BROADCAST_ROWS)
     return F.broadcast(df) if input_bytes(df) <= BROADCAST_BYTES and df.limit(rows + 1).count() <= rows else df
 
 

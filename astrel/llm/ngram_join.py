@@ -12,8 +12,13 @@ Texts are sets of word 5-grams.  Copies of one set are first collapsed to a clas
    matches k that makes (pairs touched by the prefix) + (cost of verifying the
    pairs expected to share k) least.  Prefixes of k and k' matches find a pair
    when it shares min(k, k') n-grams in them.
-3. Pairs found are verified on whole sets, in blocks: a set is shipped once for
-   each block of pairs, not once a pair.
+3. Classes are gathered in blocks by the most shared n-gram of their second
+   prefix, which near copies agree on, and prefixes are joined as blocks: two
+   blocks are candidates if they share as many prefix n-grams as the least k in
+   them asks for.  So a group of g near copies makes (g / BLOCK)^2 candidates.
+4. Each pair of blocks is a tile: its whole sets are compared by matrix products,
+   and it answers with a number of links for each class and with edges that span
+   the linked classes, never with pairs.
 
 Frequent n-grams (a passage that a third of all texts share) come last in the
 second order, so they are used only by classes that hold little else.
@@ -36,11 +41,12 @@ PERCENT = 80
 STEP = 8
 #: Cost of verifying a pair, in pairs touched; most matches that a second prefix may ask for.
 VERIFY, MOST = 8.0, 12
-#: Classes of one group of candidates that a verifying block holds.
-BLOCK = 256
-#: Class ids of classes without any doc_id lie below this; doc_ids must be above.
-NO_ID = -(1 << 61)
-
+#: Classes of a block, and n-grams of all of them together, on average; groups of more are split by hash.
+BLOCK, BLOCK_GRAMS = 1024, 1 << 20
+#: Blocks that share an n-gram and are joined in one task; those of more are spread over several.
+SPLIT = 1000
+#: An n-gram of a tile goes into the matrix product if it touches at least one in so many of its pairs.
+DENSE = 200
 
 def least_shared(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """n-grams that a set of n must share with any set of Jaccard similarity percent / 100 or more."""
@@ -148,11 +154,11 @@ def choose(count: np.ndarray, must: int) -> tuple[int, int]:
 
 
 def _second(percent: int):
-    """Second prefixes of batch(cid, n, h list, c list): rows (cid, n, k, gram)."""
+    """Second prefixes of batch(cid, n, h list, c list): rows (cid, n, k, gram, lead); lead: the most shared one of them."""
 
     def over(batches):
         for batch in batches:
-            cids, ns, ks, grams = [], [], [], []
+            cids, ns, ks, grams, leads = [], [], [], [], []
             for cid, n, hs, cs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 h, c = np.frombuffer(b"".join(hs), np.uint64), np.frombuffer(b"".join(cs), np.uint32).astype(np.int64)
                 must = int(matches(least_shared(np.int64(n), percent)))
@@ -160,42 +166,148 @@ def _second(percent: int):
                     continue
                 order = np.lexsort((h, c))
                 k, length = choose(c[order], must)
-                grams.append(h[order[:length]].astype(np.int64))
+                order = order[:length]
+                most = order[np.searchsorted(c[order], c[order[-1]])]
+                grams.append(h[order].astype(np.int64))
                 cids.append(np.full(length, cid))
                 ns.append(np.full(length, n))
                 ks.append(np.full(length, k))
+                leads.append(np.full(length, h[most].astype(np.int64)))
             if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (cids, ns, ks, grams)], names=["cid", "n", "k", "gram"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (cids, ns, ks, grams, leads)], names=["cid", "n", "k", "gram", "lead"])
 
     return over
 
 
 def _sets(batches):
-    """Whole sets of batch(cid, text)."""
+    """Whole sets of batch(cid, copies, text)."""
     for batch in batches:
-        data, bounds = K.column(batch.column(1))
+        data, bounds = K.column(batch.column(2))
         out = []
         for first, last in K.slices(bounds):
             g, b = ngram_sets(data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first])
             out += [g[i:j].tobytes() for i, j in zip(b[:-1].tolist(), b[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["cid", "grams"])
-
-
-def _verify(percent: int):
-    """Pairs of one block that are similar enough: left(block, lo, hi), right(block, cid, grams)."""
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["cid", "copies", "grams"])
+
+
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Matrix of the numbers of n-grams that each set of the left shares with each of the right."""
+    na, nb = len(left), len(right)
+    size = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    exact = np.float32 if max(size[0].max(), size[1].max()) < 1 << 24 else np.float64
+    out = np.zeros((na, nb), exact)
+    grams, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    at_a, at_b = at[: size[0].sum()], at[size[0].sum() :]
+    ca, cb = np.bincount(at_a, minlength=len(grams)), np.bincount(at_b, minlength=len(grams))
+    touched = ca * cb
+    dense = touched * DENSE >= max(na * nb, 1)
+    dense &= touched > 0
+    row_a, row_b = np.repeat(np.arange(na), size[0]), np.repeat(np.arange(nb), size[1])
+    column = np.cumsum(dense) - 1
+    width = int(dense.sum())
+    step = max((1 << 22) // max(na, nb), 64)
+    in_a, in_b = np.flatnonzero(dense[at_a]), np.flatnonzero(dense[at_b])
+    col_a, col_b = column[at_a[in_a]], column[at_b[in_b]]
+    for first in range(0, width, step):
+        parts = []
+        for rows, cols, n in ((row_a[in_a], col_a, na), (row_b[in_b], col_b, nb)):
+            here = (cols >= first) & (cols < first + step)
+            m = np.zeros((n, min(step, width - first)), exact)
+            m[rows[here], cols[here] - first] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    # n-grams that few pairs share, pair by pair
+    in_a = np.flatnonzero((touched[at_a] > 0) & ~dense[at_a])
+    if len(in_a):
+        order = np.argsort(at_b, kind="stable")
+        begin = np.searchsorted(at_b[order], np.arange(len(grams)))
+        count = cb[at_a[in_a]]
+        flat = out.reshape(-1)
+        cuts = np.r_[0, np.cumsum(count)]
+        first = 0
+        while first < len(in_a):
+            last = max(int(np.searchsorted(cuts, cuts[first] + (1 << 20), "right")) - 1, first + 1)
+            some = in_a[first:last]
+            cols = row_b[order[K.runs(begin[at_a[some]], count[first:last])]]
+            pair, times = np.unique(np.repeat(row_a[some], count[first:last]) * nb + cols, return_counts=True)
+            flat[pair] += times
+            first = last
+    return out
+
+
+def links_of(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Matrix of the links between sets of the left and of the right."""
+    same = common(left, right)
+    na, nb = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    out = np.empty(same.shape, bool)
+    for i in range(0, len(left), 256):
+        s = same[i : i + 256].astype(np.int64)
+        out[i : i + 256] = 100 * s >= percent * (na[i : i + 256, None] + nb[None] - s)
+    return out
+
+
+def spanning(links: np.ndarray) -> list[tuple[int, int]]:
+    """(row, node) edges that connect what the links between rows and columns connect; nodes are rows, then columns."""
+    rows, cols = links.shape
+    new_row, new_col, out = links.any(1), np.ones(cols, bool), []
+    for i in range(rows):
+        if not new_row[i]:
+            continue
+        front, new_row[i] = np.array([i]), False
+        while len(front):
+            found = np.flatnonzero(links[front].any(0) & new_col)
+            new_col[found] = False
+            out += [(i, rows + int(j)) for j in found]
+            front = np.flatnonzero(links[:, found].any(1) & new_row) if len(found) else found
+            new_row[front] = False
+            out += [(i, int(j)) for j in front]
+    return out
+
+
+def _tiles(percent: int):
+    """Answers of the tiles in batch(b1, b2, side, cid, copies, grams), sorted by tile: (cid, others, root)."""
+
+    def answer(tile: pa.Table):
+        side = tile["side"].to_numpy()
+        cid, copies = tile["cid"].to_numpy(), tile["copies"].to_numpy()
+        sets = [np.frombuffer(g, np.uint64) for g in tile["grams"].to_pylist()]
+        alone = not side.any()
+        a = np.flatnonzero(side == 0)
+        b = a if alone else np.flatnonzero(side == 1)
+        if not len(a) or not len(b):
+            return
+        links = links_of([sets[i] for i in a], [sets[i] for i in b], percent)
+        if alone:
+            np.fill_diagonal(links, False)
+        root = {}
+        for i, j in spanning(links):
+            j = j % len(a) if alone else j
+            if i != j:
+                root.setdefault(j, i)
+        ids = cid[a] if alone else cid[np.r_[a, b]]
+        others = links @ copies[b] if alone else np.r_[links @ copies[b], copies[a] @ links]
+        some = np.flatnonzero(others)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(others[some].astype(np.int64)), pa.array([int(ids[root[i]]) if i in root else None for i in some.tolist()], pa.int64())], names=["cid", "others", "root"])
 
-    def over(left: pa.Table, right: pa.Table) -> pa.Table:
-        sets = {c: np.frombuffer(g, np.uint64) for c, g in zip(right["cid"].to_pylist(), right["grams"].to_pylist(), strict=True)}
-        lo, hi, ok = left["lo"].to_pylist(), left["hi"].to_pylist(), []
-        for a, b in zip(lo, hi, strict=True):
-            x, y = sets[a], sets[b]
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            same = int((y[at] == x).sum())
-            ok.append(100 * same >= percent * (len(x) + len(y) - same))
-        keep = np.flatnonzero(ok)
-        return pa.table({"lo": left["lo"].take(keep), "hi": left["hi"].take(keep)})
+    def over(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            b1, b2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(b1):
+                continue
+            cuts = np.flatnonzero((b1[1:] != b1[:-1]) | (b2[1:] != b2[:-1])) + 1
+            if held and (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()) != (int(b1[0]), int(b2[0])):
+                yield from answer(pa.Table.from_batches(held))
+                held = []
+            cuts = [0, *cuts.tolist(), len(b1)]
+            for first, last in zip(cuts, cuts[1:], strict=False):
+                held.append(batch.slice(first, last - first))
+                if last < len(b1):
+                    yield from answer(pa.Table.from_batches(held))
+                    held = []
+        if held:
+            yield from answer(pa.Table.from_batches(held))
 
     return over
 
@@ -224,70 +336,69 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Two documents link when 100 * common n-grams >= percent * n-grams in either.
     Returns for each row of docs: doc_id, n_shingles, n_similar (documents linked
-    directly), component_id (smallest doc_id reachable by links, itself included) and
-    text_key (xxhash64 of the text, to tell apart rows that share a doc_id).
+    directly), component_id (smallest doc_id reachable by links, itself included),
+    text_key (xxhash64 of the text, to tell apart rows that share a doc_id) and
+    group_id, one number for each group of two or more linked documents, else null.
 
     Null, empty and blank texts have no n-grams and no links; their component is
     their doc_id.  Rows with a null doc_id count in the n_similar of others; their
-    component_id is the smallest doc_id of their group, or null.  Repeated rows are
-    documents of their own.  Texts are read whole; other columns are ignored.
-    n-grams are compared by 64-bit fingerprints, classes by two of them and the size.
+    component_id is the smallest doc_id of their group, or null.  Repeated rows and
+    rows that share a doc_id are documents of their own.  Texts are read whole;
+    other columns are ignored.  n-grams are compared by 64-bit fingerprints, classes
+    by two of them and the size.
     """
-    texts = S.text_ids(docs)
-    owners = S.partitions(texts)
-    sketch = S.written(S.text_ids(docs, F.xxhash64("text").alias("text_key")).mapInArrow(_sketch(percent), "doc_id long, n long, s1 long, s2 long, prefix binary, text_key long"))
+    texts = S.text_ids(docs, F.xxhash64("text").alias("text_key"))
+    owners = S.partitions(texts.select("doc_id", "text"))
+    sketch = S.written(texts.mapInArrow(_sketch(percent), "doc_id long, n long, s1 long, s2 long, prefix binary, text_key long"))
     key = ["s1", "s2", "n"]
-    classes = sketch.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min("prefix").alias("prefix"))
-    cid = F.coalesce("first_id", F.lit(NO_ID) - F.col("s1").bitwiseAND((1 << 60) - 1)).alias("cid")
-    classes = S.written(classes.select(*key, cid, "copies", "prefix"))
+    # a class is known by its sets' signatures; the id it gets when it is written is a short name for them
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key")).alias("first")
+    classes = sketch.filter("n > 0").groupBy(*key).agg(first, F.count("*").alias("copies"), F.min("prefix").alias("prefix"))
+    classes = S.written(classes.select(*key, F.monotonically_increasing_id().alias("cid"), F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("text_key"), "copies", "prefix"))
     sent = classes.select("cid", "n", "prefix").mapInArrow(_send(owners), P.MESSAGE).repartitionById(owners, F.col("owner"))
     shared = sent.mapInArrow(_shared, "cid long, n long, h binary, c binary")
     shared = shared.groupBy("cid", "n").agg(F.collect_list("h").alias("h"), F.collect_list("c").alias("c"))
-    second = S.written(shared.mapInArrow(_second(percent), "cid long, n long, k long, gram long"))
-    a = second.select("gram", F.col("cid").alias("lo"), F.col("n").alias("n1"), F.col("k").alias("k1"))
-    b = second.select("gram", F.col("cid").alias("hi"), F.col("n").alias("n2"), F.col("k").alias("k2"))
-    near = (F.col("lo") < F.col("hi")) & (100 * F.col("n1") >= percent * F.col("n2")) & (100 * F.col("n2") >= percent * F.col("n1"))
-    touched = a.join(b, "gram").filter(near).groupBy("lo", "hi").agg(F.count("*").alias("same"), F.min(F.least("k1", "k2")).alias("k"))
-    pairs = S.written(touched.filter("same >= k").select("lo", "hi"))
-
-    # blocks: the pairs whose later class has the same earliest partner, split by the later class
-    group = S.written(pairs.groupBy("hi").agg(F.min("lo").alias("head")))
-    heads = group.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    block = F.concat_ws(":", "head", F.pmod(F.xxhash64("hi"), F.col("parts"))).alias("block")
-    blocked = S.written(pairs.join(group.join(heads, "head"), "hi").select(block, "lo", "hi"))
-    wanted = S.written(blocked.select("block", F.col("lo").alias("cid")).union(blocked.select("block", "hi")).distinct())
-    needed = S.written(wanted.select("cid").distinct())
-    # one text for each class: the document whose id the class bears, or any document where ids are missing
-    named = texts.join(S.small(needed.select(F.col("cid").alias("doc_id"))), "doc_id", "left_semi").select(F.col("doc_id").alias("cid"), "text")
-    whole = named.mapInArrow(_sets, "cid long, grams binary")
-    if needed.filter(F.col("cid") <= NO_ID).limit(1).count():
-        nameless = S.text_ids(docs, F.xxhash64("text").alias("text_key")).filter("doc_id is null").mapInArrow(_sketch_text(percent), "n long, s1 long, s2 long, grams binary")
-        whole = whole.union(nameless.join(classes.filter(F.col("cid") <= NO_ID), key).select("cid", "grams"))
-    sets = wanted.join(whole.dropDuplicates(["cid"]), "cid")
-    links = S.written(blocked.groupBy("block").cogroup(sets.select("block", "cid", "grams").groupBy("block")).applyInArrow(_verify(percent), "lo long, hi long"))
-
-    weight = classes.select("cid", "copies")
-    linked = links.select(F.col("lo").alias("cid"), F.col("hi").alias("other")).union(links.select("hi", "lo"))
-    degree = linked.join(weight.withColumnRenamed("cid", "other"), "other").groupBy("cid").agg(F.sum("copies").alias("others"))
-    about = classes.select(*key, "cid", "copies").join(degree, "cid", "left").join(components(links), "cid", "left")
-    about = about.select(*key, (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"), F.coalesce("component", "cid").alias("component"))
-    return sketch.drop("prefix").join(S.written(about), key, "left").select(
+    second = S.written(shared.mapInArrow(_second(percent), "cid long, n long, k long, gram long, lead long"))
+
+    # blocks of classes with one lead, split by hash where they are many or large
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("long")
+    many = S.written(second.filter("gram = lead").groupBy("lead").agg(parts.alias("parts")).filter("parts > 1"))
+    block = F.xxhash64("lead", F.pmod(F.xxhash64("cid"), F.coalesce("parts", F.lit(1)))).alias("block")
+    rows = second.join(S.small(many), "lead", "left").select("cid", "n", "k", "gram", block, (F.col("gram") == F.col("lead")).alias("leads"))
+    members = S.written(rows.filter("leads").select("cid", "block"))
+    post = S.written(rows.groupBy("gram", "block").agg(F.min("k").alias("k")))
+    often = S.written(post.groupBy("gram").agg(F.count("*").alias("blocks")).filter("blocks > 1"))
+    post = post.join(often, "gram").withColumn("salts", F.ceil(F.col("blocks") / SPLIT).cast("int"))
+    a = post.select("gram", F.col("block").alias("b1"), F.col("k").alias("k1"), F.pmod(F.xxhash64("block"), F.col("salts")).cast("int").alias("salt"))
+    b = post.select("gram", F.col("block").alias("b2"), F.col("k").alias("k2"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    touched = a.join(b, ["gram", "salt"]).filter("b1 < b2").groupBy("b1", "b2").agg(F.count("*").alias("same"), F.min(F.least("k1", "k2")).alias("k"))
+    across = touched.filter("same >= k").select("b1", "b2")
+    within = members.groupBy("block").agg(F.count("*").alias("classes")).filter("classes > 1").select(F.col("block").alias("b1"), F.col("block").alias("b2"))
+    tiles = S.written(across.union(within))
+
+    sides = tiles.select("b1", "b2", F.explode(F.when(F.col("b1") == F.col("b2"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
+    sides = sides.withColumn("block", F.when(F.col("side") == 0, F.col("b1")).otherwise(F.col("b2")))
+    wanted = S.written(sides.join(members, "block").select("b1", "b2", "side", "cid"))
+    named = classes.join(wanted.select("cid").distinct(), "cid").select(F.col("first_id").alias("d"), F.col("text_key").alias("t"), "cid", "copies")
+    # one text for each class: that of its first document
+    named = S.small(S.written(named))
+    whole = texts.join(named, texts["doc_id"].eqNullSafe(F.col("d")) & (texts["text_key"] == F.col("t"))).select("cid", "copies", "text")
+    sets = whole.mapInArrow(_sets, "cid long, copies long, grams binary").dropDuplicates(["cid"])
+    shipped = wanted.join(sets, "cid").select("b1", "b2", "side", "cid", "copies", "grams").repartition("b1", "b2").sortWithinPartitions("b1", "b2")
+    answers = S.written(shipped.mapInArrow(_tiles(percent), "cid long, others long, root long"))
+
+    degree = answers.groupBy("cid").agg(F.sum("others").alias("others"))
+    edges = answers.filter("root is not null").select(F.least("cid", "root").alias("lo"), F.greatest("cid", "root").alias("hi"))
+    about = classes.select(*key, "cid", "copies", "first_id").join(degree, "cid", "left").filter("copies > 1 or others is not null")
+    about = S.written(about.join(components(edges), "cid", "left").withColumn("group_id", F.coalesce("component", "cid")).drop("component"))
+    least = about.groupBy("group_id").agg(F.min("first_id").alias("component_id"))
+    about = about.join(least, "group_id").select(*key, (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"), "component_id", "group_id")
+    return sketch.drop("prefix").join(S.small(S.written(about)), key, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"),
-        F.when(F.col("component") > NO_ID, F.col("component")).when(F.col("component").isNull(), F.col("doc_id")).alias("component_id"), "text_key",
+        F.when(F.col("group_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_key", "group_id",
     )
 
 
-def _sketch_text(percent: int):
-    """n, s1, s2 and the whole set of texts without an id."""
-
-    def over(batches):
-        for batch in batches:
-            for s, g in zip(_sketch(percent)(iter([batch])), _sets(iter([batch])), strict=True):
-                yield pa.RecordBatch.from_arrays([s.column(1), s.column(2), s.column(3), g.column(1)], names=["n", "s1", "s2", "grams"])
-
-    return over
-
-
 #: Exact SQL: an n-gram is a row, and every pair that shares one is counted; for small tables only.
 ORACLE = r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),

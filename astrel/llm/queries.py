@@ -15,7 +15,7 @@ def op1_mixing(spark, sf_dir):
 
 
 def op2_ngram_join(spark, sf_dir):
-    return ngram_join.ngram_join(S.table(spark, sf_dir, "documents")).drop("text_key")
+    return ngram_join.ngram_join(S.table(spark, sf_dir, "documents")).drop("text_key", "group_id")
 
 
 def tokenizer_path(name="byte_bpe_50k.json"):

@@ -60,31 +60,106 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
+def brute_links(data):
+    """Rows (doc_id, n_shingles, n_similar, component_id) by comparing all pairs."""
+    sets = [shingles(t) for _, t, _ in data]
+    links = defaultdict(set)
+    for a, b in combinations(range(len(data)), 2):
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            links[a].add(b)
+            links[b].add(a)
+
+    def component(a):
+        seen, todo = {a}, [a]
+        while todo:
+            for b in links[todo.pop()] - seen:
+                seen.add(b)
+                todo.append(b)
+        return min((data[x][0] for x in seen if data[x][0] is not None), default=None)
+
+    return Counter((data[a][0], len(sets[a]), len(links[a]), component(a)) for a in range(len(data)))
+
+
+def joined_links(df):
+    return Counter((r["doc_id"], r["n_shingles"], r["n_similar"], r["component_id"]) for r in rows(ngram_join.ngram_join(df)))
+
+
+def shared_ids(corpus):
+    """Rows that share a doc_id, or have none, with unlike and with similar texts."""
+    a, b = corpus[3][1], corpus[5][1]
+    c = " ".join(f"q{i}" for i in range(40))
+    return [(1, a, "s"), (1, b, "s"), (2, a + " more", "s"), (3, b + " more", "s"), (None, c, "s"), (None, c + " x", "s"), (None, c.upper(), "s"), (None, a + " else", "s"), (2, "other " + b, "s")]
+
+
 def test_ngram_join(make, edge_rows, corpus):
-    for data in ([x for x in edge_rows if x[0] is not None], corpus):
-        sets = [shingles(t) for _, t, _ in data]
-        links = defaultdict(set)
-        for a, b in combinations(range(len(data)), 2):
-            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                links[a].add(b)
-                links[b].add(a)
-
-        def component(a):
-            seen, todo = {a}, [a]
-            while todo:
-                for b in links[todo.pop()] - seen:
-                    seen.add(b)
-                    todo.append(b)
-            return min(data[x][0] for x in seen)
-
-        want = Counter((data[a][0], len(sets[a]), len(links[a]), component(a)) for a in range(len(data)))
-        got = Counter((r["doc_id"], r["n_shingles"], r["n_similar"], r["component_id"]) for r in rows(ngram_join.ngram_join(make(data))))
-        assert got == want
-    out = {(r["n_shingles"], r["n_similar"]) for r in rows(ngram_join.ngram_join(make(edge_rows))) if r["doc_id"] is None}
-    assert out == {(1, 4), (0, 0)}
+    for data in (edge_rows, corpus, shared_ids(corpus)):
+        assert joined_links(make(data)) == brute_links(data)
     assert ngram_join.ngram_join(make([])).count() == 0
 
 
+def near_copies(n=150, size=60, seed=8):
+    """A hot group of near copies, among them small ones and unlike texts with the same passage."""
+    import random
+
+    r = random.Random(seed)
+    base = [f"w{r.randrange(500)}" for _ in range(size)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 1, 2])):
+            w[r.randrange(size)] = f"v{r.randrange(50)}"
+        if i % 5 == 0:
+            w = w[: size // 3] + [f"x{r.randrange(9999)}" for _ in range(r.choice([1, 2, size]))]
+        out.append((i, " ".join(w), "s"))
+    return out
+
+
+def test_ngram_join_splits_hot_groups(make, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "SPLIT", 2)
+    data = near_copies()
+    assert joined_links(make(data)) == brute_links(data)
+
+
+def test_tiles():
+    """Shared n-grams of a tile, by matrix product and pair by pair, and the edges that span its links."""
+    r = np.random.default_rng(4)
+    for na, nb, top in ((1, 1, 20), (3, 40, 60), (50, 30, 4000), (60, 60, 500)):
+        left, right = ([np.unique(r.integers(0, top, r.integers(1, 90)) ** 2).astype(np.uint64) for _ in range(n)] for n in (na, nb))
+        want = [[len(set(x.tolist()) & set(y.tolist())) for y in right] for x in left]
+        assert ngram_join.common(left, right).tolist() == want
+        links = r.random((na, nb)) < 0.05
+        parent = list(range(na + nb))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        edges = ngram_join.spanning(links)
+        for i, j in edges:
+            assert find(i) != find(j)
+            parent[find(i)] = find(j)
+        assert all(find(i) == find(na + j) for i, j in zip(*np.nonzero(links), strict=True))
+        assert len(edges) < na + nb
+
+
+def test_fingerprints_of_patterned_texts():
+    """Thue-Morse words and sequences, which a polynomial modulo 2^64 can't tell apart."""
+    import pyarrow as pa
+
+    from astrel.llm import _kernel as K
+
+    for n in (64, 512, 1024, 4096):
+        x = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+        y = x.translate(str.maketrans("ab", "ba"))
+        for a, b in ((x, y), (" ".join(x), " ".join(y)), (x[:100], y[:100])):
+            d, bounds = K.column(pa.array([a, b]))
+            start, end, per = K.word_spans(d, bounds)
+            h = K.windows(K.word_hashes(d, start, end), int(per[1]))
+            assert h[0] != h[-1]
+
+
 def test_prefix_choice():
     """A longer prefix is chosen where the candidates of a short one are many."""
     rare = np.array([2] * 30)
