@@ -106,10 +106,10 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return scramble(a * np.uint64(_BASE) + b)
 
 
-def _hash_piece(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _hash_piece(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """Eight bytes at a time, each scrambled into what came before; words of over LONG_WORD bytes by a library hash."""
     size = end - start
-    h = scramble(size.astype(np.uint64) + np.uint64(_BASE))
+    h = scramble(size.astype(np.uint64) + np.uint64((_BASE + seed) & (1 << 64) - 1))
     raw = np.r_[data, np.zeros(8, np.uint8)]
     eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
     left = np.flatnonzero((size > 0) & (size <= LONG_WORD))
@@ -120,19 +120,19 @@ def _hash_piece(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         more = step > 8
         left, at, step = left[more], at[more] + 8, step[more] - 8
     for i in np.flatnonzero(size > LONG_WORD).tolist():
-        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
     return h
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Fingerprint of each word; long buffers are hashed in pieces that end between words."""
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Fingerprint of each word; another seed gives an independent one; long buffers are hashed in pieces that end between words."""
     if len(data) <= PIECE or not len(start):
-        return _hash_piece(data, start, end)
+        return _hash_piece(data, start, end, seed)
     parts, first = [], 0
     while first < len(start):
         base = start[first]
         last = max(int(np.searchsorted(end, base + PIECE, "right")), first + 1)
-        parts.append(_hash_piece(data[base : end[last - 1]], start[first:last] - base, end[first:last] - base))
+        parts.append(_hash_piece(data[base : end[last - 1]], start[first:last] - base, end[first:last] - base, seed))
         first = last
     return np.concatenate(parts)
 

@@ -122,7 +122,7 @@ def _send(owners: int):
 
 def _shared(batches):
     """n-grams that two or more classes sent: for each class its n-grams and their numbers of classes."""
-    h, docs, index, _ = P.Inbox(batches, 2, False).arrays(0)
+    h, docs, index, _ = P.Inbox(batches, 2, 64).arrays(0)
     if not len(h):
         return
     _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)

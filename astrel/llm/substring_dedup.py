@@ -8,8 +8,10 @@ those that start in an earlier document too are maximal exact repeats, joined
 where they overlap.
 
 Blocks and probes meet at the owners of their hash ranges in packed form.  An owner
-answers with positions, never with pairs of documents, so a passage that a third
-of all documents share costs one answer for each of its occurrences.
+answers with positions, never with pairs of documents.  What a task can decide
+among its own documents it doesn't send: of the documents that share a passage,
+only those that may be the earliest go to the owner, so that a passage that a third
+of all documents share brings it a few messages from each task.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ from astrel.llm import _packed as P
 from astrel.llm import _spark as S
 
 WINDOW = 50
+#: Probes of one fingerprint in one task that may ask its owner; if there are more, all but the first document's are anchors unasked.
+HOT = 64
+#: Kind of messages with positions that the sending task has decided itself.
+DECIDED = 9
 _HITS = "doc long, key long, spans binary"
 
 
@@ -42,9 +48,55 @@ def _docs(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)], 1).astype(np.int64)
 
 
+def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order that sorts fingerprints, bounds of equal ones in it)."""
+    if h.ndim == 1:
+        order = np.argsort(h, kind="stable")
+        x = h[order]
+        new = x[1:] != x[:-1]
+    else:
+        order = np.lexsort((h[:, 1], h[:, 0]))
+        x = h[order]
+        new = (x[1:] != x[:-1]).any(1)
+    return order, np.r_[0, np.flatnonzero(new) + 1]
+
+
+def _decided(owners: int, doc: np.ndarray, pos: np.ndarray, docs: np.ndarray):
+    """Messages with positions that need no owner, spread by document."""
+    if len(doc):
+        yield P.pack(owners, DECIDED, K.scramble(docs[doc].sum(1).astype(np.uint64)), doc, pos, docs, True, bare=True)
+
+
+def _ask(owners: int, block: int):
+    """Sends of a task's rolling windows those whose owner must be asked; reference blocks are those at multiples of block."""
+
+    def send(h, doc, pos, docs):
+        order, first = _groups(h)
+        size = np.diff(first, append=len(h))
+        d = docs[doc, 0]
+        by = d[order]
+        low, high = np.minimum.reduceat(by, first), np.maximum.reduceat(by, first)
+        ref = pos % block == 0
+        block_low = np.minimum.reduceat(np.where(ref[order], by, P.NO_ID), first)
+        group = np.empty(len(h), np.int64)
+        group[order] = np.repeat(np.arange(len(first)), size)
+        low, high, block_low = low[group], high[group], block_low[group]
+        anchor = d > block_low  # an earlier block is here
+        waiting = np.bincount(group, ~anchor)[group]
+        hot = waiting > HOT
+        ask = ~anchor & (~hot | (d == low)) | (d == high)
+        anchor |= hot & (d > low)
+        yield from _decided(owners, doc[anchor], pos[anchor], docs)
+        yield P.pack(owners, 1, h[ask], doc[ask], pos[ask], docs, True)
+        ref &= d == block_low
+        yield P.pack(owners, 0, h[ref], doc[ref], pos[ref], docs, True)
+
+    return send
+
+
 def _send_blocks(owners: int, block: int, window: int):
     def over(batches):
-        blocks, probes = P.Packer(owners, 0, True), P.Packer(owners, 1, True)
+        out = P.Packer(owners, 1, True, _ask(owners, block))
         for batch in batches:
             ids = _docs(batch)
             for first, last, d, start, end, per in _tokens(batch):
@@ -53,12 +105,8 @@ def _send_blocks(owners: int, block: int, window: int):
                 count = np.where(long_enough, np.diff(per) - block + 1, 0)
                 at = K.runs(per[:-1], count)
                 doc = np.repeat(np.arange(last - first), count)
-                pos = at - per[doc]
-                yield from probes.add(h[at], doc, pos, ids[first:last])
-                ref = pos % block == 0
-                yield from blocks.add(h[at[ref]], doc[ref], pos[ref], ids[first:last])
-        yield from blocks.flush()
-        yield from probes.flush()
+                yield from out.add(h[at], doc, at - per[doc], ids[first:last])
+        yield from out.flush()
 
     return over
 
@@ -75,8 +123,10 @@ def _spans_by_doc(docs: np.ndarray, index: np.ndarray, pos: np.ndarray):
 
 
 def _match_blocks(batches):
-    """Positions of probes that meet a block of an earlier document, and of blocks that meet a probe of a later one."""
-    box = P.Inbox(batches, 2, True)
+    """Positions of probes that meet a block of an earlier document, of blocks that meet a probe of a later one, and those decided before."""
+    box = P.Inbox(batches, 2, 32)
+    _, *decided = box.arrays(DECIDED)
+    yield from _spans_by_doc(*decided)
     bh, bdocs, bindex, bpos = box.arrays(0)
     ph, pdocs, pindex, ppos = box.arrays(1)
     if not len(bh):
@@ -120,15 +170,29 @@ def _ranges(spans: bytes | None, n: int) -> tuple[np.ndarray, np.ndarray]:
     return first, end
 
 
-def _send_windows(owners: int, block: int, window: int):
-    """Fingerprints of the windows that start in the ranges of batch(doc, key, text, spans)."""
+def _first_of(owners: int):
+    """Sends of each window of a task only those in its first document; in later ones it is a repeat."""
+
+    def send(h, doc, pos, docs):
+        order, first = _groups(h)
+        d = docs[doc, 0]
+        low = np.empty(len(h), np.int64)
+        low[order] = np.repeat(np.minimum.reduceat(d[order], first), np.diff(first, append=len(h)))
+        late = d > low
+        yield from _decided(owners, doc[late], pos[late], docs)
+        yield P.pack(owners, 0, h[~late], doc[~late], pos[~late], docs, False)
+
+    return send
+
+
+def _send_windows(owners: int, window: int):
+    """Fingerprints, of 128 bits, of the windows that start in the ranges of batch(doc, key, text, spans)."""
 
     def over(batches):
-        out = P.Packer(owners, 0, False)
+        out = P.Packer(owners, 0, False, _first_of(owners))
         for batch in batches:
             ids, spans = _docs(batch), batch.column(3).to_pylist()
             for first, last, d, start, end, per in _tokens(batch):
-                h = K.windows(K.word_hashes(d, start, end), window)
                 starts = []
                 for i in range(first, last):
                     n = int(per[i - first + 1] - per[i - first]) - window + 1
@@ -137,7 +201,9 @@ def _send_windows(owners: int, block: int, window: int):
                 doc = np.repeat(np.arange(last - first), [len(s) for s in starts])
                 pos = np.concatenate(starts) if starts else np.zeros(0, np.int64)
                 if len(pos):
-                    yield from out.add(h[per[doc] + pos], doc, pos, ids[first:last])
+                    at = per[doc] + pos
+                    h = np.stack([K.windows(K.word_hashes(d, start, end, seed), window, seed)[at] for seed in (0, 1)], 1)
+                    yield from out.add(h, doc, pos, ids[first:last])
         yield from out.flush()
 
     return over
@@ -145,13 +211,17 @@ def _send_windows(owners: int, block: int, window: int):
 
 def _match_windows(batches):
     """Positions of windows that start in an earlier document too."""
-    h, docs, index, pos = P.Inbox(batches, 2, False).arrays(0)
+    box = P.Inbox(batches, 2, 128)
+    _, *decided = box.arrays(DECIDED)
+    yield from _spans_by_doc(*decided)
+    h, docs, index, pos = box.arrays(0)
     if not len(h):
         return
-    _, inverse = np.unique(h, return_inverse=True)
-    earliest = np.full(inverse.max() + 1, P.NO_ID)
-    np.minimum.at(earliest, inverse, docs[index, 0])
-    hit = earliest[inverse] < docs[index, 0]
+    order, first = _groups(h)
+    d = docs[index, 0]
+    low = np.empty(len(h), np.int64)
+    low[order] = np.repeat(np.minimum.reduceat(d[order], first), np.diff(first, append=len(h)))
+    hit = low < d
     yield from _spans_by_doc(docs, index[hit], pos[hit])
 
 
@@ -195,7 +265,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Null and empty texts have no words.  A null doc_id counts as larger than all
     others.  Rows that repeat a doc_id remove nothing from each other.  Texts of any
-    length are read whole; other columns are ignored.  window must be even.
+    length are read whole; other columns are ignored.  window must be even.  Blocks
+    are compared by 32 to 64 bits, which only choose what is looked at; windows, which
+    decide, by fingerprints of 128 bits from two independent hashes of each word.
     """
     block = window // 2
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(P.NO_ID)).alias("doc"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
@@ -206,7 +278,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     anchors = anchors.groupBy("doc", "key").agg(F.collect_list("spans").alias("spans"))
     anchors = S.written(anchors.mapInArrow(_merged(window - block, 1), _HITS))
     around = texts.select("doc", "key", "text").join(S.small(anchors), ["doc", "key"])
-    found = around.mapInArrow(_send_windows(owners, block, window), P.MESSAGE)
+    found = around.mapInArrow(_send_windows(owners, window), P.MESSAGE)
     found = found.repartitionById(owners, F.col("owner")).mapInArrow(_match_windows, _HITS)
     found = found.groupBy("doc", "key").agg(F.collect_list("spans").alias("spans"))
     found = S.written(found.mapInArrow(_merged(0, window), _HITS))

@@ -173,28 +173,64 @@ def test_prefix_choice():
 # substring dedup
 
 
+def brute_repeats(data):
+    first = {}
+    for i, t, _ in data:
+        w = words(t)
+        for p in range(len(w) - 49):
+            s = tuple(w[p : p + 50])
+            first[s] = min(first.get(s, 1 << 63), 1 << 63 if i is None else i)
+    want = Counter()
+    for i, t, _ in data:
+        w = words(t)
+        gone = set()
+        for p in range(len(w) - 49):
+            if first[tuple(w[p : p + 50])] < (1 << 63 if i is None else i):
+                gone.update(range(p, p + 50))
+        kept = " ".join(x for p, x in enumerate(w) if p not in gone)
+        want[i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()] += 1
+    return want
+
+
+def kept_words(df):
+    return Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows(substring_dedup.substring_dedup(df)))
+
+
+def hot_passages(n=400):
+    """Passages that most documents share, at one offset, at any offset, and shorter than a window; ids in any order."""
+    import random
+
+    r = random.Random(6)
+    text = lambda k: " ".join(f"t{r.randrange(90)}" for _ in range(k))
+    shared, short = text(80), text(40)
+    ids = list(range(n))
+    r.shuffle(ids)
+    out = [(i, " ".join([shared, text(9)] if k % 3 == 0 else [text(r.randrange(60)), shared, text(30)] if k % 3 == 1 else [text(20), short, text(20)]), "s") for k, i in enumerate(ids)]
+    return [*out, (n // 2, shared + " " + text(5), "s"), (None, shared, "s"), (None, shared, "s")]
+
+
 def test_substring_dedup(make, edge_rows, corpus):
-    for data in (edge_rows, corpus):
-        first = {}
-        for i, t, _ in data:
-            w = words(t)
-            for p in range(len(w) - 49):
-                s = tuple(w[p : p + 50])
-                first[s] = min(first.get(s, 1 << 63), 1 << 63 if i is None else i)
-        want = Counter()
-        for i, t, _ in data:
-            w = words(t)
-            gone = set()
-            for p in range(len(w) - 49):
-                if first[tuple(w[p : p + 50])] < (1 << 63 if i is None else i):
-                    gone.update(range(p, p + 50))
-            kept = " ".join(x for p, x in enumerate(w) if p not in gone)
-            want[i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()] += 1
-        got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows(substring_dedup.substring_dedup(make(data))))
-        assert got == want
+    for data in (edge_rows, corpus, hot_passages()):
+        assert kept_words(make(data)) == brute_repeats(data)
     assert substring_dedup.substring_dedup(make([])).count() == 0
 
 
+def test_hot_passages_ask_little():
+    """What one task sends of a passage doesn't grow with its documents."""
+    from astrel.llm import _packed
+
+    r = np.random.default_rng(3)
+    passage, sent = r.integers(0, 1 << 63, 30).astype(np.uint64), []
+    for n in (500, 5000):
+        doc = np.repeat(np.arange(n), 30)
+        pos = np.tile(np.arange(30), n) + np.repeat(r.integers(0, 25, n), 30)
+        docs = np.stack([r.permutation(n), np.arange(n)], 1)
+        box = _packed.Inbox(substring_dedup._ask(4, 25)(np.tile(passage, n), doc, pos, docs), 2, 32)
+        sent.append([len(box.arrays(k)[3]) for k in (0, 1)])
+        assert len(box.arrays(substring_dedup.DECIDED)[3]) + sum(sent[-1]) >= 30 * n
+    assert max(sent[1]) <= 30 * (substring_dedup.HOT + 2) and max(sent[1]) < 2 * max(sent[0]) + 100
+
+
 # mixing
 
 
