@@ -4,13 +4,17 @@ A tree builder keeps the stack of open elements, closes and opens the ones that
 HTML implies, and knows which are invisible.  The renderer emits all visible text:
 blocks on lines of their own with the blank lines their margins ask for, list items
 with bullets or numbers and indented, table cells in aligned columns.  Both work
-in one pass with an explicit stack, so nesting of any depth is safe.
+in one pass with an explicit stack; a block's lines are handed on as they are and
+indented once, at the end, so the work is linear in the page however deep it nests.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+import unicodedata
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,13 +47,53 @@ _GAP = re.compile(r"[ \t\n\r\f]+")
 _NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
 
+#: Columns of indentation; deeper blocks aren't moved or marked further.
+INDENT = 80
+#: Tables inside tables whose columns are aligned; deeper ones put their cells below one another.
+DEPTH = 30
+
+
+def width_of(s: str) -> int:
+    """Columns that a line takes: two for wide characters, none for combining ones."""
+    if s.isascii():
+        return len(s)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
+
+
+class Block:
+    """Lines of a block, with what stands before the first of them and before the others."""
+
+    __slots__ = ("lines", "first", "rest")
+
+    def __init__(self, lines, first: str, rest: str):
+        self.lines, self.first, self.rest = lines, first, rest
+
+
+def flat(lines: list) -> list[str]:
+    """Lines and blocks as lines."""
+    out: list[str] = []
+    stack = [[iter(lines), "", ""]]
+    while stack:
+        top = stack[-1]
+        for x in top[0]:
+            first, top[1] = top[1], top[2]
+            if isinstance(x, str):
+                out.append(first + x if x else x)
+            else:
+                stack.append([iter(x.lines), first + x.first if len(first) < INDENT else first, top[2] + x.rest if len(top[2]) < INDENT else top[2]])
+                break
+        else:
+            stack.pop()
+    return out
+
+
 class Buffer:
     """Lines of one block: inline text flows into the last line, blocks begin a new one."""
 
     __slots__ = ("lines", "flow", "gap", "need")
 
     def __init__(self):
-        self.lines: list[str] = []
+        self.lines: list[str | Block] = []
         self.flow: list[str] = []  # pieces of the open line
         self.gap = False  # white space seen since the last piece
         self.need = 0  # blank lines wanted before the next line
@@ -73,7 +117,7 @@ class Buffer:
             self.flow = []
         self.gap = False
 
-    def put(self, lines: list[str]) -> None:
+    def put(self, lines: list[str | Block]) -> None:
         if self.lines and self.need:
             self.lines.extend([""] * self.need)
         self.need = 0
@@ -83,7 +127,7 @@ class Buffer:
         self.line()
         self.need = max(self.need, blank)
 
-    def done(self) -> list[str]:
+    def done(self) -> list[str | Block]:
         self.line()
         return self.lines
 
@@ -98,53 +142,52 @@ class Element:
         self.closed_details = False
 
 
-def _below(rows):
-    """Rows of (lines, columns), with empty cells where cells (lines, columns, rows) of the rows above reach down."""
-    out, down = [], {}
+def _placed(rows):
+    """Rows of (lines, first column, column after the last) from rows of cells (lines, columns, rows), which cells above push aside."""
+    out, down = [], []  # down: (first, end, rows left) of cells that reach down, ascending
     for row in rows:
-        cells, at, left = [], 0, {c: n - 1 for c, n in down.items() if n > 1}
+        cells, at, k, begun = [], 0, 0, []
         for lines, wide, high in row:
-            while at in down:
-                cells.append(([], 1))
-                at += 1
-            cells.append((lines, wide))
+            while k < len(down) and down[k][0] <= at:
+                at = max(at, down[k][1])
+                k += 1
+            cells.append((lines, at, at + wide))
             if high > 1:
-                left |= dict.fromkeys(range(at, at + wide), high - 1)
+                begun.append((at, at + wide, high))
             at += wide
-        if down and row:
-            for c in range(at, max(down) + 1):
-                cells.append(([], 1))
         out.append(cells)
-        down = left
+        down = sorted((a, z, n - 1) for a, z, n in down + begun if n > 1)
     return out
 
 
-def _columns(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of (lines of a cell, columns it spans) as lines with aligned columns, two spaces apart."""
-    width: list[int] = []
+def _columns(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of (lines of a cell, first column, column after the last) as lines with aligned columns, two spaces apart."""
+    edges = sorted({x for row in rows for _, *ends in row for x in ends} | {0})
+    index = {x: i for i, x in enumerate(edges)}
+    width = [0] * (len(edges) - 1)
+    rows = [[(lines, max(map(width_of, lines), default=0), index[a], index[z]) for lines, a, z in row] for row in rows]
     for row in rows:
-        at = 0
-        for lines, span in row:
-            while len(width) < at + span:
-                width.append(0)
-            if span == 1:
-                width[at] = max(width[at], max(map(len, lines), default=0))
-            at += span
-    for row in rows:  # what a spanning cell needs beyond its columns goes to the last of them
-        at = 0
-        for lines, span in row:
-            if span > 1:
-                has = sum(width[at : at + span]) + 2 * (span - 1)
-                width[at + span - 1] += max(0, max(map(len, lines), default=0) - has)
-            at += span
+        for _, w, a, z in row:
+            if z == a + 1:
+                width[a] = max(width[a], w)
+    wide = sorted({(z, a, w) for row in rows for _, w, a, z in row if z > a + 1})
+    # what a spanning cell needs beyond its columns goes to the last of them; by last column, so that sums of those before it stay
+    start, done = [0], 0
+    for z, a, w in wide:
+        while done < z - 1:
+            start.append(start[-1] + width[done] + 2)
+            done += 1
+        width[z - 1] = max(width[z - 1], w - (start[z - 1] - start[a]))
+    start = [0, *accumulate(x + 2 for x in width)]
     out = []
     for row in rows:
-        for i in range(max((len(lines) for lines, _ in row), default=0)):
-            at, parts = 0, []
-            for lines, span in row:
-                parts.append((lines[i] if i < len(lines) else "").ljust(sum(width[at : at + span]) + 2 * (span - 1)))
-                at += span
-            out.append("  ".join(parts).rstrip(" "))
+        for i in range(max((len(lines) for lines, *_ in row), default=0)):
+            parts, at = [], 0
+            for lines, _, a, z in row:
+                if i < len(lines) and lines[i]:
+                    parts += [" " * (start[a] - at), lines[i]]
+                    at = start[a] + width_of(lines[i])
+            out.append("".join(parts).rstrip(" "))
     return out
 
 
@@ -158,7 +201,8 @@ class Renderer:
         self.buffers = [root.buffer]
         self.title: str | None = None
         self.fresh = False  # right after <pre>: a line break here isn't shown
-        self.open_tags: dict[str, int] = {}
+        self.open_tags: dict[str, list[int]] = {}  # positions in the stack, ascending
+        self.tables: list[Element] = []
 
     # tree building
 
@@ -199,8 +243,8 @@ class Renderer:
         if tag == "details" and not re.search(r"\bopen\b", attrs):
             e.closed_details = True
         self.fresh = tag in ("pre", "textarea")
+        self.open_tags.setdefault(tag, []).append(len(self.stack))
         self.stack.append(e)
-        self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
         if hidden:
             return
         b = self.buffers[-1]
@@ -214,6 +258,7 @@ class Renderer:
             e.count = int(m[1]) if m else 1
         elif tag == "table":
             e.rows = []
+            self.tables.append(e)
             e.buffer = Buffer()  # text between the cells comes before the table
             self.buffers.append(e.buffer)
         elif tag == "tr":
@@ -221,10 +266,10 @@ class Renderer:
             if table is not None:
                 table.rows.append([])
         elif tag in ("td", "th"):
-            m = re.search(r"\bcolspan\s*=\s*[\"']?(\d+)", attrs, re.I)
-            wide = min(max(int(m[1]), 1), 100) if m and len(m[1]) < 6 else 1
-            m = re.search(r"\browspan\s*=\s*[\"']?(\d+)", attrs, re.I)
-            high = min(int(m[1]), 65534) if m and len(m[1]) < 6 else 1
+            m = re.search(r"\bcolspan\s*=\s*[\"']?0*(\d+)", attrs, re.I)
+            wide = 1 if not m else 1000 if len(m[1]) > 3 else max(int(m[1]), 1)
+            m = re.search(r"\browspan\s*=\s*[\"']?0*(\d+)", attrs, re.I)
+            high = 1 if not m else 65534 if len(m[1]) > 5 else min(int(m[1]), 65534)
             e.count = (wide, high or 65534)  # 0: all rows that follow
             e.buffer = Buffer()
             self.buffers.append(e.buffer)
@@ -233,20 +278,18 @@ class Renderer:
             self.buffers.append(e.buffer)
 
     def table(self):
-        for e in reversed(self.stack):
-            if e.rows is not None:
-                return e
-        return None
+        return self.tables[-1] if self.tables else None
+
+    def nearest(self, tags) -> int:
+        """Position of the innermost open element with one of the tags, or 0."""
+        return max((self.open_tags[t][-1] for t in tags if self.open_tags.get(t)), default=0)
 
     def close_within(self, tags, bounds) -> None:
         """Close the innermost element with one of the tags, unless a boundary is nearer; repeated for nested ones."""
-        i = len(self.stack) - 1
-        found = None
-        while i > 0 and self.stack[i].tag not in bounds:
-            if self.stack[i].tag in tags:
-                found = i
-            i -= 1
-        if found is not None:
+        bound = self.nearest(bounds)
+        found = [at[bisect_right(at, bound)] for t in tags if (at := self.open_tags.get(t)) and at[-1] > bound]
+        if found:
+            found = min(found)
             while len(self.stack) > found:
                 self.pop()
 
@@ -270,13 +313,10 @@ class Renderer:
                 if self.stack[-1].tag in HEADING:
                     self.pop()
         elif self.open_tags.get(tag):
-            bounds = () if tag in TABLE else ("table", "td", "th")
-            i = len(self.stack) - 1
-            while self.stack[i].tag != tag:
-                if self.stack[i].tag in bounds:
-                    return
-                i -= 1
-            while len(self.stack) > i:
+            at = self.open_tags[tag][-1]
+            if tag not in TABLE and self.nearest(("table", "td", "th")) > at:
+                return
+            while len(self.stack) > at:
                 self.pop()
 
     # rendering
@@ -322,7 +362,9 @@ class Renderer:
 
     def pop(self) -> None:
         e = self.stack.pop()
-        self.open_tags[e.tag] -= 1
+        self.open_tags[e.tag].pop()
+        if e.rows is not None:
+            self.tables.pop()
         if e.hidden:
             return
         if e.buffer is None:
@@ -345,7 +387,13 @@ class Renderer:
                 table.rows[-1].append((lines, *(e.count or (1, 1))))
         elif e.tag == "table":
             b.block(1)
-            whole = lines + _columns(_below(e.rows))
+            rows = _placed(e.rows)
+            single = all(len(row) < 2 and (not row or row[0][1] == 0) for row in rows)
+            if single or len(self.tables) >= DEPTH:
+                cells = [Block(cell[0], "", "") for row in rows for cell in row if cell[0]]
+            else:
+                cells = _columns([[(flat(lines), a, z) for lines, a, z in row] for row in rows])
+            whole = lines + cells
             if whole:
                 b.put(whole)
             b.block(1)
@@ -353,29 +401,21 @@ class Renderer:
             b.line()
             if e.tag == "li":
                 mark = "- "
-                for up in reversed(self.stack):
-                    if up.tag in ("ul", "ol", "menu", "dir"):
-                        if up.tag == "ol":
-                            mark = f"{up.count}. "
-                            up.count += 1
-                        break
+                up = self.stack[self.nearest(("ul", "ol", "menu", "dir"))]
+                if up.tag == "ol":
+                    mark = f"{up.count}. "
+                    up.count += 1
                 if lines:
-                    pad = " " * len(mark)
-                    b.put([(pad if i else mark) + x if x else x for i, x in enumerate(lines)])
+                    b.put([Block(lines, mark, " " * len(mark))])
             elif lines:
                 pad = "  " if e.tag == "blockquote" else "    "
-                b.put([pad + x if x else x for x in lines])
+                b.put([Block(lines, pad, pad)])
             b.block(1 if e.tag == "blockquote" else 0)
 
     def finish(self) -> str:
         while len(self.stack) > 1:
             self.pop()
-        lines = self.buffers[0].done()
-        while lines and not lines[0]:
-            lines.pop(0)
-        while lines and not lines[-1]:
-            lines.pop()
-        return "\n".join(lines)
+        return "\n".join(flat(self.buffers[0].done())).strip("\n")
 
 
 _s_p, _s_a, _BOUND = _s("p"), _s("a"), _s("table td th caption button object applet marquee template")
@@ -431,7 +471,8 @@ def html_text(pages: DataFrame) -> DataFrame:
 
     A null or empty page has an empty text and no title.  Malformed markup is
     repaired as far as the implied tags go and never fails; repeated rows give
-    repeated results; pages are rendered whole; other columns are ignored.
+    repeated results; pages are rendered whole; other columns are ignored.  Layout,
+    not text, has bounds: INDENT columns of indentation, DEPTH tables in tables.
     """
 
     def over(batch):

@@ -674,6 +674,102 @@ three<p>Four<ul><li>a<li>b<ol start=3><li>x<li>y</ol><li>c</ul>after<table><tr><
     assert text == "One two three\n\nFour\n\n- a\n- b\n  3. x\n  4. y\n- c\n\nafter\n\nName       Qty\napple pie  3\nwide\n\n a  b\n   c\n\nx\ny 1 < 2 <b>"
 
 
+def slow_layout(tree, inside_li=False):
+    """(lines, blank lines before, blank lines after) of a tree, by recursion: a node is a text or (tag, children)."""
+    tag, children = tree
+    margin = {"p": 1, "h2": 1, "ul": 1, "ol": 1, "blockquote": 1, "table": 1}.get(tag, 0)
+    if tag in ("ul", "ol") and inside_li:
+        margin = 0
+    lines, need, flow, lead = [], 0, [], 0
+
+    def end_line(more=()):
+        nonlocal need, lead
+        line = " ".join("".join(flow).split())
+        flow.clear()
+        for new in ([line] if line else [], more):
+            if new:
+                lead = lead if lines else need
+                lines.extend([""] * (need if lines else 0) + list(new))
+                need = 0
+
+    if tag == "table":
+        rows = [[slow_layout(("td", c[1]), inside_li)[0] for c in row[1]] for row in children]
+        count = max(map(len, rows), default=0)
+        wide = [max((html_text.width_of(x) for r in rows if k < len(r) for x in r[k]), default=0) for k in range(count)]
+        for r in rows:
+            for i in range(max(map(len, r), default=0)):
+                cells = [(c[i] if i < len(c) else "") for c in r]
+                lines.append("  ".join(c + " " * (w - html_text.width_of(c)) for c, w in zip(cells, wide, strict=False)).rstrip())
+        return lines, 1, 1
+    number = 0
+    for c in children:
+        if isinstance(c, str):
+            flow.append(c + " ")
+            continue
+        if c[0] == "b":
+            flow.append("".join(x + " " for x in c[1]))
+            continue
+        end_line()
+        inner, before, after = slow_layout(c, inside_li or tag == "li")
+        if tag in ("ul", "ol"):
+            number += 1
+            mark = "- " if tag == "ul" else f"{number}. "
+            inner = [(mark if i == 0 else " " * len(mark)) + x if x else x for i, x in enumerate(inner)]
+        elif c[0] == "blockquote":
+            inner = ["  " + x if x else x for x in inner]
+        need = max(need, before)
+        end_line(inner)
+        need = max(need, after)
+    end_line()
+    if tag in ("li", "blockquote", "td"):  # what is inside has no margins beyond these
+        return lines, margin, margin
+    return (lines, max(margin, lead), max(margin, need)) if lines else (lines, max(margin, need), max(margin, need))
+
+
+def test_html_against_slow_layout():
+    import random
+
+    r = random.Random(11)
+    text = lambda: " ".join(r.choice(["one", "two", "thrée", "漢字", "x"]) for _ in range(r.randint(1, 4)))
+
+    def node(depth):
+        tag = r.choice(["div", "p", "h2", "ul", "ol", "blockquote", "table", "section"])
+        if tag in ("p", "h2") or depth > 4:
+            return ("p" if depth > 4 else tag, [text(), ("b", [text()])] if r.random() < 0.5 else [text()])
+        if tag in ("ul", "ol"):
+            return (tag, [("li", body(depth)) for _ in range(r.randint(1, 3))])
+        if tag == "table":
+            return (tag, [("tr", [("td", body(depth + 1)) for _ in range(r.randint(2, 3))]) for _ in range(r.randint(1, 3))])
+        return (tag, body(depth))
+
+    def body(depth):
+        return [text() if r.random() < 0.4 else node(depth + 1) for _ in range(r.randint(1, 3))]
+
+    def source(n):
+        return n + " " if isinstance(n, str) else f"<{n[0]}>{''.join(map(source, n[1]))}</{n[0]}>"
+
+    for _ in range(600):
+        tree = ("div", body(0))
+        assert html_text.render(source(tree))[1] == "\n".join(slow_layout(tree)[0]).strip("\n"), source(tree)
+
+
+@pytest.mark.parametrize("opened", ["<blockquote>a", "<ul><li>a", "<dl><dd>a", "<p><button><div>", "<ol><li>", "<table><tr><td>", "<div></span>"])
+def test_html_nests_in_linear_time(opened):
+    import time
+
+    def took(n):
+        start = time.process_time()
+        html_text.render(opened * n)
+        return time.process_time() - start
+
+    assert took(40_000) < 8 * max(took(10_000), 0.1)
+
+
+def test_html_wide_columns():
+    out = html_text.render("<table><tr><td>漢字<td>a<tr><td>abcdef<td>b<tr><td colspan=99999>x<td rowspan=0 colspan=5000>y</table>")[1].split("\n")
+    assert out[0] == "漢字    a" and out[1] == "abcdef  b" and out[2].split() == ["x", "y"]
+
+
 def test_html_survives_anything(spark):
     import random
 
