@@ -5,9 +5,13 @@ Words are stripped of signs at their ends and lower-cased; numbers, names
 Windows of the resulting template are hash-joined with those of the benchmark,
 so a question with other figures or names still meets its template.  Windows of
 the lower-cased words themselves, numbers and names included, are joined beside
-them, so that a verbatim copy is found whatever its words and capitals are.  Each
-alignment of a document with an item must then use its slots consistently: one
-value of the item always stands for one value of the document.
+them, so that a verbatim copy is found whatever its words and capitals are.
+
+Items of one template form a class, and documents meet classes, so that a document
+that shares a window with thousands of variants of one question costs one row.
+Each alignment of a document with an item must then use its slots consistently: a
+name or unit of the item always stands for one of the document, and so does a
+number, unless another word follows it ("12 apples and 12 pears" has two slots).
 """
 
 from __future__ import annotations
@@ -32,7 +36,11 @@ UNITS = (
     "day days week weeks month months year years l ml cl litre litres liter liters gallon gallons cent cents dollar dollars euro euros usd eur gbp percent "
     "kmh mph hz khz mhz ghz w kw kwh v volt volts watt watts j joule joules n newton newtons pa c f k degree degrees"
 ).split()
-_HIT = "h long, length int, doc_id long, key long, pos int, slots array<long>"
+_HIT = "h long, length int, doc_id long, key long, pos int, at array<int>, slots array<long>"
+#: Fingerprints of the index up to which documents are filtered by all of them; beyond, by a Bloom filter of 2**BLOOM bits.
+KNOWN, BLOOM = 1_000_000, 27
+#: Stands for a null doc_id.
+NO_ID = (1 << 63) - 1
 #: Sets the fingerprints of verbatim windows apart from those of templates.
 _VERBATIM = 0x5BE0CD19137E2179
 _TAGS = {1: 0x1B873593CC9E2D51, 2: 0x2545F4914F6CDD1D, 3: 0x6A09E667F3BCC909}
@@ -103,32 +111,62 @@ def template_windows(data: np.ndarray, bounds: np.ndarray, length: int):
 
 
 def _rows(w, doc, pos, at, template, own, kind, length, ids, keys):
-    # slots are numbered by word position, so that all windows of an alignment agree on them
-    slots = [own[a : a + length][kind[a : a + length] > 0].astype(np.int64).tolist() if t else [] for a, t in zip(at.tolist(), template.tolist(), strict=True)]
+    where = [np.flatnonzero(kind[a : a + length]) if t else np.zeros(0, np.int64) for a, t in zip(at.tolist(), template.tolist(), strict=True)]
+    slots = [own[a + x].astype(np.int64).tolist() for a, x in zip(at.tolist(), where, strict=True)]
     n = len(w)
     return pa.RecordBatch.from_arrays(
-        [pa.array(w.astype(np.int64)), pa.array(np.full(n, length, np.int32)), ids.take(pa.array(doc)), keys.take(pa.array(doc)), pa.array(pos.astype(np.int32)), pa.array(slots, pa.list_(pa.int64()))],
-        names=["h", "length", "doc_id", "key", "pos", "slots"],
+        [pa.array(w.astype(np.int64)), pa.array(np.full(n, length, np.int32)), ids.take(pa.array(doc)), keys.take(pa.array(doc)), pa.array(pos.astype(np.int32)), pa.array([x.tolist() for x in where], pa.list_(pa.int32())), pa.array(slots, pa.list_(pa.int64()))],
+        names=["h", "length", "doc_id", "key", "pos", "at", "slots"],
     )
 
 
+class Known:
+    """Which fingerprints may be in the index: a sorted table of them, or the words of a Bloom filter."""
+
+    def __init__(self, table: np.ndarray | None, bloom: np.ndarray | None = None):
+        self.table, self.bloom = table, bloom
+
+    def __call__(self, w: np.ndarray) -> np.ndarray:
+        """Positions of the fingerprints that may be."""
+        if self.bloom is None:
+            if not hasattr(self, "bits"):
+                self.bits = np.zeros(1 << 20, bool)
+                self.bits[(self.table >> np.uint64(44)).astype(np.int64)] = True
+            some = np.flatnonzero(self.bits[(w >> np.uint64(44)).astype(np.int64)])
+            return some[self.table[np.minimum(np.searchsorted(self.table, w[some]), len(self.table) - 1)] == w[some]]
+        some = np.arange(len(w))
+        for shift in (0, BLOOM):
+            x = (w[some] >> np.uint64(shift)) & np.uint64((1 << BLOOM) - 1)
+            some = some[(self.bloom[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1) == 1]
+        return some
+
+
+def _known(index: DataFrame) -> Known:
+    """A filter of at most 8 * KNOWN or 2**BLOOM / 8 bytes for the fingerprints of an index."""
+    h = S.written(index.select("h").distinct())
+    if h.limit(KNOWN + 1).count() <= KNOWN:
+        table = np.sort(np.array([r[0] for r in h.collect()], np.int64).astype(np.uint64))
+        return Known(table if len(table) else np.zeros(1, np.uint64))
+    mask = (1 << BLOOM) - 1
+    bit = F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", BLOOM).bitwiseAND(mask))).alias("bit")
+    words = h.select(bit).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
+    bloom = np.zeros(1 << (BLOOM - 6), np.uint64)
+    bloom[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint64)
+    return Known(None, bloom)
+
+
 def _windows(lengths: list[int], known):
-    """Template windows of batch(doc_id, key, text); known: a broadcast array of fingerprints to keep, or None for all."""
+    """Template windows of batch(doc_id, key, text); known: a broadcast filter of fingerprints to keep, or None for all."""
 
     def over(batches):
-        table = np.sort(known.value) if known is not None else None
-        if table is not None:
-            bits = np.zeros(1 << 20, bool)
-            bits[(table >> np.uint64(44)).astype(np.int64)] = True
         for batch in batches:
             data, bounds = K.column(batch.column(2))
             for first, last in K.slices(bounds):
                 d, b = data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first]
                 for length in lengths:
                     w, doc, pos, at, template, own, kind = template_windows(d, b, length)
-                    if table is not None:
-                        some = np.flatnonzero(bits[(w >> np.uint64(44)).astype(np.int64)])
-                        some = some[table[np.minimum(np.searchsorted(table, w[some]), len(table) - 1)] == w[some]]
+                    if known is not None:
+                        some = known.value(w)
                         w, doc, pos, at, template = w[some], doc[some], pos[some], at[some], template[some]
                     if len(w):
                         yield _rows(w, doc + first, pos, at, template, own, kind, length, batch.column(0), batch.column(1))
@@ -136,19 +174,44 @@ def _windows(lengths: list[int], known):
     return over
 
 
-def _lengths(batches):
+def _index(lengths: list[int]):
+    """Windows of batch(item_id, text): (h, length, item_id, item_pos, verbatim)."""
+
+    def over(batches):
+        for batch in batches:
+            data, bounds = K.column(batch.column(1))
+            for length in lengths:
+                w, doc, pos, _, template, *_ = template_windows(data, bounds, length)
+                n = len(w)
+                yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int64)), pa.array(np.full(n, length, np.int32)), batch.column(0).take(pa.array(doc)), pa.array(pos.astype(np.int32)), pa.array(~template)], names=["h", "length", "item_id", "item_pos", "verbatim"])
+
+    return over
+
+
+def _items(batches):
+    """(item_id, words, sign of the template, positions of its slots, what tells the slots apart) of batch(item_id, text)."""
     for batch in batches:
         data, bounds = K.column(batch.column(1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(templates(data, bounds)[3]))], names=["item_id", "words"])
+        h, own, kind, per = templates(data, bounds)
+        sign, at, slot = [], [], []
+        for a, b in zip(per[:-1].tolist(), per[1:].tolist(), strict=True):
+            sign.append(int(K.windows(h[a:b], b - a)[0].astype(np.int64)) if b > a else 0)
+            where = np.flatnonzero(kind[a:b])
+            following = np.r_[own[a + 1 : b], np.zeros(min(b - a, 1), np.uint64)]
+            at.append(where.tolist())
+            slot.append(np.where(kind[a:b] == 1, K.mix(own[a:b], following), own[a:b])[where].astype(np.int64).tolist())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(np.diff(per)), pa.array(sign, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(slot, pa.list_(pa.int64()))], names=["item_id", "words", "sign", "slot_at", "slot"]
+        )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """Finds items of benchmark(item_id, text, ...) in docs(doc_id, text, ...).
 
     Returns for each row of docs: doc_id, contaminated, n_items, item_ids (ascending),
-    text_key (xxhash64 of the text) and coverage, the largest share of an item's words that consistent alignments
-    cover.  A document is contaminated if that share reaches the parameter for some
-    item; item_ids lists those.
+    coverage and text_key (xxhash64 of the text).  A document is contaminated if
+    consistent alignments cover at least the share coverage of some item's words;
+    item_ids lists those items, and the column coverage has the largest share, or 0.
 
     Null and empty texts, an empty benchmark and items with fewer than four words
     contaminate nothing.  Repeated rows are judged alike; equal items are each
@@ -156,31 +219,36 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     read whole; other columns are ignored.
     """
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    words = S.written(items.mapInArrow(_lengths, "item_id long, words long").filter(F.col("words") >= LITERAL))
-    lengths = [r[0] for r in words.select(F.least(F.col("words"), F.lit(window)).cast("int").alias("n")).distinct().orderBy("n").collect()]  # at most window
-    index = items.select("item_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_windows(lengths, None), _HIT.replace("doc_id", "item_id"))
-    index = index.join(F.broadcast(words) if words.limit(S.BROADCAST_ROWS + 1).count() <= S.BROADCAST_ROWS else words, "item_id")
-    index = S.written(index.filter((F.col("length") == window) | (F.col("length") == F.col("words"))).select("h", "length", "item_id", "words", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")))
-    known = None
-    if index.limit(S.BROADCAST_ROWS + 1).count() <= S.BROADCAST_ROWS:  # else every window takes part in the shuffled join
-        table = np.array([r[0] for r in index.select("h").distinct().collect()], np.int64).astype(np.uint64)
-        known = docs.sparkSession.sparkContext.broadcast(table if len(table) else np.zeros(1, np.uint64))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
-    hits = keyed.mapInArrow(_windows(lengths, known), _HIT).distinct().join(S.small(index), ["h", "length"])
-    group = ["doc_id", "key", "item_id", "words"]
-    aligned = hits.groupBy(*group, (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-        F.flatten(F.collect_list(F.arrays_zip("item_slots", "slots"))).alias("pairs"),
-        F.array_distinct(F.flatten(F.collect_list(F.sequence("item_pos", F.col("item_pos") + F.col("length") - 1)))).alias("covered"),
-    )
-    consistent = F.size(F.array_distinct("pairs")) == F.size(F.array_distinct("pairs.item_slots"))
-    found = aligned.filter(consistent).groupBy(*group).agg((F.size(F.array_distinct(F.flatten(F.collect_list("covered")))) / F.col("words")).alias("share"))
-    found = found.groupBy("doc_id", "key").agg(
-        F.sort_array(F.collect_set(F.when(F.col("share") >= coverage, F.col("item_id")))).alias("item_ids"), F.max("share").alias("coverage")
-    )
-    found = S.small(S.written(found.select(F.col("doc_id").alias("d"), "key", "item_ids", "coverage")))
-    out = keyed.select("doc_id", "key").join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (keyed["key"] == found["key"]), "left")
-    none = F.array().cast("array<long>")
-    return out.select(
-        "doc_id", (F.size(F.coalesce("item_ids", none)) > 0).alias("contaminated"), F.size(F.coalesce("item_ids", none)).cast("long").alias("n_items"),
-        F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), keyed["key"].alias("text_key"),
+    about = S.written(items.mapInArrow(_items, "item_id long, words long, sign long, slot_at array<int>, slot array<long>").filter(F.col("words") >= LITERAL).distinct())
+    lengths = [r[0] for r in about.select(F.least(F.col("words"), F.lit(window)).cast("int").alias("n")).distinct().orderBy("n").collect()]  # at most window
+    index = items.mapInArrow(_index(lengths), "h long, length int, item_id long, item_pos int, verbatim boolean").join(S.small(about.select("item_id", "words", "sign")), "item_id")
+    index = S.written(index.filter((F.col("length") == window) | (F.col("length") == F.col("words"))))
+    by_class = S.small(S.written(index.filter("not verbatim").select("h", "length", "sign", "words", "item_pos").distinct()))
+    by_item = S.small(S.written(index.filter("verbatim").select("h", "length", "item_id", "item_pos").distinct()))
+    known = docs.sparkSession.sparkContext.broadcast(_known(index))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("id"))
+    hits = S.written(keyed.select("doc_id", "key", "text").mapInArrow(_windows(lengths, known), _HIT).distinct())
+    shift = (F.col("pos") - F.col("item_pos")).alias("shift")
+    reach = F.array_distinct(F.flatten(F.collect_list(F.sequence("item_pos", F.col("item_pos") + F.col("length") - 1)))).alias("covered")
+    values = F.arrays_zip(F.transform("at", lambda x: x + F.col("item_pos")).alias("at"), F.col("slots").alias("value"))
+    in_class = S.written(hits.join(by_class, ["h", "length"]).groupBy("doc_id", "key", "sign", "words", shift).agg(reach, F.array_distinct(F.flatten(F.collect_list(values))).alias("filled")))
+    verbatim = S.written(hits.join(by_item, ["h", "length"]).groupBy("doc_id", "key", "item_id", shift).agg(reach))
+
+    # items looked at one by one: all of a class that a document may cover far enough, and those that it holds words of verbatim
+    far = in_class.groupBy("doc_id", "key", "sign", "words").agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("n")).filter(F.col("n") >= coverage * F.col("words"))
+    wanted = far.join(S.small(about.select("sign", "words", "item_id")), ["sign", "words"]).select("doc_id", "key", "item_id").union(verbatim.select("doc_id", "key", "item_id")).distinct()
+    wanted = wanted.join(S.small(about), "item_id")
+    slots = F.map_from_arrays("slot_at", "slot")
+    pairs = F.transform("filled", lambda x: F.struct(slots[x["at"]].alias("slot"), x["value"].alias("value")))
+    aligned = in_class.join(wanted, ["doc_id", "key", "sign", "words"]).select("doc_id", "key", "item_id", "shift", "covered", pairs.alias("pairs"))
+    consistent = F.size(F.array_distinct("pairs")) == F.size(F.array_distinct("pairs.slot"))
+    aligned = aligned.select("doc_id", "key", "item_id", "shift", "covered", consistent.alias("ok")).union(verbatim.select("doc_id", "key", "item_id", "shift", "covered", F.lit(True)))
+    aligned = aligned.groupBy("doc_id", "key", "item_id", "shift").agg(F.flatten(F.collect_list("covered")).alias("covered"), F.every("ok").alias("ok")).filter("ok")
+    found = aligned.groupBy("doc_id", "key", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("n")).join(S.small(about.select("item_id", "words")), "item_id")
+    found = found.select("doc_id", "key", "item_id", (F.col("n") / F.col("words")).alias("share")).filter(F.col("share") >= coverage)
+    found = found.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("share").alias("coverage"))
+    found = S.small(S.written(found))
+    none = F.coalesce("item_ids", F.array().cast("array<long>"))
+    return keyed.select("doc_id", "key", "id").join(found, ["doc_id", "key"], "left").select(
+        F.col("id").alias("doc_id"), (F.size(none) > 0).alias("contaminated"), F.size(none).cast("long").alias("n_items"), none.alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.col("key").alias("text_key")
     )

@@ -431,14 +431,125 @@ def test_decontamination_finds_verbatim_copies(spark, make):
     assert out == {1: [1], 2: [2], 3: [2], 4: []}
 
 
-def test_decontamination_without_broadcast(spark, make, monkeypatch):
-    from astrel.llm import _spark
+def brute_templates(text):
+    """(lower-cased word, its type) by the rules of the docstring."""
+    out, units = [], set(decontamination.UNITS)
+    begins, line_end, number = True, -1, False
+    for m in WORD.finditer(text):
+        raw = m.group()
+        if "\n" in text[max(line_end, 0) : m.start()]:
+            begins = True
+        line_end = m.end()
+        word = raw.strip("".join(chr(c) for c in range(128) if not chr(c).isalnum()))
+        if word:
+            first = word[0]
+            kind = ""
+            if first.isascii() and first.isdigit():
+                kind = "number"
+            elif number and word.lower() in units:
+                kind = "unit"
+            elif not begins and (len(word) > 1 and "A" <= first <= "Z" and not "A" <= word[1] <= "Z" or "À" <= first <= "Þ"):
+                kind = "name"
+            number = kind == "number"
+            out.append((word.lower() if word.isascii() else re.sub("[A-Z]", lambda c: c[0].lower(), word), kind))
+            begins = raw[-1] in ".!?:;"
+    return out
+
+
+def brute_items(text, items, window=8, coverage=0.5):
+    found, d = [], brute_templates(text or "")
+    for i, item in items:
+        t = brute_templates(item or "")
+        n = len(t)
+        if n < decontamination.LITERAL:
+            continue
+        length, covered = min(n, window), set()
+        for shift in range(-n, len(d)):
+            reach, slots, ok = set(), defaultdict(set), True
+            for p in range(n - length + 1):
+                if not 0 <= p + shift <= len(d) - length:
+                    continue
+                a, b = t[p : p + length], d[p + shift : p + shift + length]
+                shape = [k or w for w, k in a] == [k or w for w, k in b] and [k for _, k in a] == [k for _, k in b]
+                if shape and sum(not k for _, k in a) >= min(decontamination.LITERAL, length):
+                    reach.update(range(p, p + length))
+                    for q in range(length):
+                        if a[q][1]:
+                            following = t[p + q + 1][0] if a[q][1] == "number" and p + q + 1 < n else ""
+                            slots[a[q][0], following if a[q][1] == "number" else None].add(b[q][0])
+                if [w for w, _ in a] == [w for w, _ in b]:
+                    reach.update(range(p, p + length))
+            if all(len(v) == 1 for v in slots.values()):
+                covered |= reach
+        if len(covered) >= coverage * n:
+            found.append(i)
+    return found
+
+
+def word_problems(n, seed=5):
+    """Questions with numbers, names and units, and others made of them by other values: (question, variant)."""
+    import random
+
+    r = random.Random(seed)
+    nouns = "apples pears tickets stamps marbles candles bricks bottles".split()
+    people = "Anna Otto Hugo Lena Mona Nils Sara Ivan Olga Paul".split()
+    frames = [
+        "On Monday {p} bought {a} {x} and {b} {y} at the market, then gave {c} of them to {q}. How many were left in the basket?",
+        "A train that {p} takes runs {a} km in {b} hours and {q} asks how long {c} km would take at that very speed.",
+        "If {p} fills {a} {x} into each of {b} boxes while {q} takes away {c} every hour, when will all the boxes be empty?",
+        "The garden of {p} is {a} m long and {b} m wide, so {q} wants to know how much a fence costs at {c} dollars for each metre of it.",
+    ]
+    out = []
+    for _ in range(n):
+        frame, x, y = r.choice(frames), *r.sample(nouns, 2)
+        extra = " ".join(r.choice("so then they both said again that this time everything about it would be quite different".split()) for _ in range(r.randint(3, 9)))
+
+        def fill():
+            p, q = r.sample(people, 2)
+            return frame.format(p=p, q=q, x=x, y=y, a=r.randint(2, 30), b=r.randint(2, 30), c=r.randint(2, 400)) + f" In the end {p} laughed and {extra}."
+
+        out.append((fill(), fill()))
+    return out
+
+
+def test_decontamination_by_brute_force(spark, make, corpus):
+    import random
 
+    r = random.Random(8)
+    problems = word_problems(60)
+    items = [(i, q) for i, (q, _) in enumerate(problems[:40])] + [(50, problems[0][1]), (51, "Two 2 words here"), (52, "no"), (53, corpus[40][1])]
+    data = []
+    for k, (q, v) in enumerate(problems):
+        w = (v if k % 2 else q).split()
+        if k % 5 == 4:
+            w = w[: len(w) * r.randint(3, 8) // 10]
+        data.append((k, f"{corpus[k][1]}.\n{' '.join(w)} {corpus[k + 1][1]}", "a"))
+    data += [(100 + i, t, s) for i, t, s in corpus[:40]] + [(None, data[0][1], "a"), (7, data[0][1], "a"), (7, "other", "a")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((x["doc_id"], x["text_key"], tuple(x["item_ids"])) for x in rows(decontamination.decontaminate(make(data), bench)))
+    want = Counter((i, tuple(brute_items(t, items))) for i, t, _ in data)
+    assert Counter((i, ids) for (i, _, ids), n in got.items() for _ in range(n)) == want
+    assert sum(len(ids) > 0 for _, ids in want) > 30
+
+
+def test_decontamination_recall_of_variants(spark, make):
+    """Questions with other figures and names are caught, also where two equal figures stand for unequal ones; unlike ones aren't."""
+    problems = word_problems(300, seed=9)
+    twice = [("We carried 12 apples and 12 pears up the hill before lunch was served there.", "We carried 15 apples and 20 pears up the hill before lunch was served there.")]
+    items = [(i, q) for i, (q, _) in enumerate([*problems[:200], *twice])]
+    data = [(i, v, "a") for i, (_, v) in enumerate([*problems[:200], *twice])] + [(1000 + i, " ".join(f"word{(i * 7 + k) % 91}" for k in range(60)), "a") for i in range(100)]
+    out = {r["doc_id"]: r for r in rows(decontamination.decontaminate(make(data), spark.createDataFrame(items, "item_id long, text string")))}
+    caught = [i in out[i]["item_ids"] for i, _ in items]
+    assert sum(caught) / len(caught) >= 0.9 and caught[-1]
+    assert not any(out[i]["contaminated"] for i in range(1000, 1100))
+
+
+def test_decontamination_by_bloom_filter(spark, make, monkeypatch):
     text = " ".join(f"token{i}" for i in range(40))
-    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
-    docs = make([(1, "x " + text, "a"), (2, "y z", "a")])
+    bench = spark.createDataFrame([(i, f"{text} tail{i} of the {i}th item") for i in range(9)], "item_id long, text string")
+    docs = make([(1, "x " + text, "a"), (2, "y z", "a"), (3, text + " tail4 of the 4th item", "a")])
     want = sorted(map(str, rows(decontamination.decontaminate(docs, bench))))
-    monkeypatch.setattr(_spark, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontamination, "KNOWN", 5)
     assert sorted(map(str, rows(decontamination.decontaminate(docs, bench)))) == want
 
 
