@@ -2,12 +2,15 @@
 
 Host labels are split into words by the most probable segmentation under a unigram
 model (Viterbi).  A multinomial naive Bayes model scores host words and path
-tokens; it is trained on all sites of the table, labelled at first by a short list
-of seed words, so that words which keep company with the seeds count too.
-
-Counts are made once a site, so a site that holds a third of all pages weighs no
-more than another.  Both models are whole tables of counts; they are broadcast
-while they are small, else host labels' substrings and tokens are joined with them.
+tokens.  It is trained on labelled site names (TRAINING, or names of one's own).
+Tokens that no labelled name holds are learnt from all sites of the table, with the
+labels that the labelled names give them, shrunk towards no evidence, so that
+tokens which keep company with known ones count too.
+
+A token of the table counts as often as it occurs, damped to log2(1 + n) within a
+site, so that a site that holds a third of all pages doesn't drown the others; sums
+are exact integers.  Both models are whole tables of counts; they are broadcast while they
+are small, else host labels' substrings and tokens are joined with them.
 """
 
 from __future__ import annotations
@@ -23,12 +26,27 @@ from astrel.llm import _spark as S
 
 #: (verdict, host, path) of the rules that the registered query uses.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-SEEDS = frozenset("adult ads adserver bet bets betting casino cams escort gambling jackpot loans lottery malware nude payday phish pills poker porn sex slots spam track tracker viagra warez xxx".split())
-COMMON = (
-    "the of and to in for on with by at from free cheap best top new big win play game games online shop store buy sale news blog web site world home help "
-    "info data cloud tech mail music video photo book books travel hotel food health sport sports art life live love money bank car cars job jobs kids school city "
-    "farm farms house land green blue red black white sun star day time one my your our get go click page link search find local daily express digital media"
-).split()
+#: Labelled names of sites by their words: what to block, and what not.
+BLOCKED = (
+    "online casino bonus; casino bonus win; casino free play; royal casino club; live casino games; lucky slots; free slots; mega slots vegas; slots jackpot; jackpot city win; free spins; sports bets online; bets win; bet now; best betting tips; betting odds today; "
+    "poker chips free; online poker room; video poker; roulette wheel; blackjack win; lottery winner; instant lottery; big lotto win; bingo cash; gambling zone; gambling bonus; cheap meds; pills online; diet pills; cheap viagra; viagra shop; cialis pills; "
+    "buy viagra online; generic pharma pills; no prescription meds; weight loss pills; payday loans; payday cash; fast cash loans; instant loans; bad credit loans; easy money loans; get rich fast; make money fast; double bitcoin; crypto doubler; free bitcoin; "
+    "adult cams; live cams; sex cams; adult video; adult dating; sex dating; hot sex; porn tube; free porn; porn video; nude pics; nude cams; xxx video; xxx tube; escort girls; escort agency; erotic cams; hentai tube; warez download; free warez; crack serial keygen; "
+    "keygen download; nulled scripts; torrent warez; malware host; virus download; phish login; phishing kit; verify account login; account suspended verify; ad server; ads tracker; click tracker; ad click track; pixel tracker; popup ads; spam mail blast; "
+    "bulk spam; link farm; seo spam links; fake watches; replica watches; cheap replica bags; fake diploma; fake followers; buy followers; buy likes cheap; essay cheat; spy cams; win iphone free; free gift cards; claim prize; prize winner claim; survey prize"
+)
+ALLOWED = (
+    "city library; public library; school library; library books; used books; book shop; children books; daily news; local news; city news; world news today; evening express; sports news; football club; tennis club; swim club; garden seeds; rose garden; garden roses; "
+    "flower shop; green farm; organic farm; farm market; fish market; food market; food blog; home recipes; easy recipes; best recipes; bread baker; coffee house; tea house; wine cellar; travel guide; city travel; cheap flights; cheap hotels; hotel booking; mountain hotel; "
+    "train times; bus times; car parts; used cars; car repair; bike shop; online shop; shoe shop; toy store; music store; guitar lessons; piano music; free music lessons; video lessons; photo gallery; art gallery; modern art; art school; primary school; language school; "
+    "music school; state university; online university; science journal; medical journal; physics forum; open data; data science; weather data; weather today; climate change; health service; health info; city hospital; dental care; eye clinic; family doctor; pharmacy guide; "
+    "diet tips; weight training; yoga life; life coach; family law; law office; tax help; tax office; money saving; savings bank; city bank; credit union; home loans guide; student loans office; house prices; real estate; home builder; kitchen design; web design; "
+    "free software; open source; cloud host; mail server; game server; video games; board games; chess club; card games; kids games; word games; puzzle games; jobs online; find jobs; job market; small business; business news; stock market; market watch; "
+    "dog training; cat care; animal rescue; bird watch; wild life; national park; water works; solar power; wind energy; electric cars; mobile phones; phone shop; computer repair; network tools; link checker; click counter school; account office; gift shop; gift ideas; "
+    "wedding photos; dating advice; adult education; adult learning; sex education; win win business; winter sports; track and field; race track; music tracks; prize books; watch repair; watches of switzerland; essay writing help; cash and carry; slot cars; bonus track; big city life; "
+    "the daily express; my home page; our town; the art of tea; on the road; time for tea; life in the city; best of the web; new day; one world; black forest; white house; blue sky; red cross; sun rise; star gazing"
+)
+TRAINING = tuple((label, tuple(x.split())) for label, names in ((1, BLOCKED), (0, ALLOWED)) for x in names.split("; "))
 SUBDOMAINS = ("www", "m", "blog", "mobile", "news", "shop")
 #: Rows up to which a model is broadcast.
 MODEL_ROWS = 1 << 18
@@ -43,7 +61,6 @@ class Segmenter(dict):
 
     def __init__(self, counts: dict[str, int], log_total: float | None = None):
         if log_total is None:  # counts are all there are
-            counts = dict.fromkeys([*COMMON, *SEEDS], 2) | {w: c + (2 if w in SEEDS else 0) for w, c in counts.items()}
             log_total = math.log(sum(counts.values()) + 1)
         super().__init__({w: math.log(c) - log_total for w, c in counts.items()})
         self.log_total = log_total
@@ -125,13 +142,36 @@ def _salted(rows: DataFrame, model: DataFrame, on: str, how: str) -> DataFrame:
     return rows.join(model, [on, "salt"], how).drop("salt")
 
 
-def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
+#: Damped counts are kept as integers, in parts of this.
+UNIT = 1024
+#: Log odds above which a site labels its tokens as blocked; one at or below 0 labels them as allowed, others don't label.
+SURE = math.log(3)
+#: Occurrences that the shrinkage of a learnt token is worth.
+SHRINK = 4.0
+
+
+def first_model(training) -> tuple[dict[str, float], float]:
+    """(log odds of each word, log odds of the prior) of a multinomial naive Bayes model of labelled names (label, words)."""
+    counts, names = ({}, {}), [0, 0]
+    for label, words in training:
+        names[label] += 1
+        for w in words:
+            counts[label][w] = counts[label].get(w, 0) + 1
+    size = len(counts[0].keys() | counts[1].keys()) + 1
+    total = [sum(c.values()) + 0.5 * size for c in counts]
+    odds = {w: math.log((counts[1].get(w, 0) + 0.5) / total[1]) - math.log((counts[0].get(w, 0) + 0.5) / total[0]) for w in counts[0].keys() | counts[1].keys()}
+    return odds, math.log(names[1] + 0.5) - math.log(names[0] + 0.5)
+
+
+def url_filter(pages: DataFrame, rules=RULES, training=TRAINING) -> DataFrame:
     """page_id, host, path, rule, verdict, words and block_score for each row of pages(page_id, url, ...).
 
     rules: (verdict, host, path) triples or a DataFrame(rule_verdict, rule_host,
     rule_path).  The longest rule whose host is the url's or a parent domain, and
     with whose path the url's begins, decides; else naive Bayes, which blocks at a
     block_score (log odds) above 0.  words are the host's segmented words.
+    training: (label, words) pairs, label 1 for names to block; it bounds the first
+    model, which is sent to all tasks.
 
     A null or malformed url has an empty host and path and is judged by the prior.
     Repeated rows are judged alike; other columns are ignored; an empty table gives
@@ -141,8 +181,10 @@ def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
     urls = parsed(pages)
     if not isinstance(rules, DataFrame):
         rules = spark.createDataFrame([tuple(r) for r in rules], "rule_verdict string, rule_host string, rule_path string")
-    # all sites and their path tokens, each once
-    seen = S.written(urls.select("host", F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("path"), F.lit(r"(\p{L}{2,})")))).alias("token")).distinct())
+    first_odds, first_prior = first_model(training)
+    # all sites and their path tokens, with the number of their urls that hold each
+    tokens_of = F.array_distinct(F.regexp_extract_all(F.lower("path"), F.lit(r"(\p{L}{2,})")))
+    seen = S.written(urls.select("host", "path").distinct().select("host", F.explode_outer(tokens_of).alias("token")).groupBy("host", "token").agg(F.count("*").alias("n")))
     hosts = S.written(seen.select("host").distinct())
 
     def pieces(batch):
@@ -150,12 +192,15 @@ def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([".".join([x for x in h.split(".") if x not in SUBDOMAINS]) for h, _ in out], pa.string()), pa.array([p for _, p in out], pa.string())], names=["site", "piece"])
 
     words = S.map_arrow(hosts, pieces, "site string, piece string").distinct()
-    words = words.union(seen.filter("length(token) >= 2").select("host", "token").distinct())
+    words = words.union(seen.filter("length(token) >= 2").select("host", "token"))
     words = words.groupBy("piece").agg(F.count("*").alias("n"))
-    listed = spark.createDataFrame([(w, 2) for w in sorted({*COMMON, *SEEDS})], "piece string, least long")
-    # common words have a count of 2 at least if no site has them; seeds two more than sites give them
-    n = F.when(F.col("n").isNull(), F.col("least")).otherwise(F.col("n") + F.when(F.col("piece").isin(*sorted(SEEDS)), 2).otherwise(0))
-    words = S.written(words.join(F.broadcast(listed), "piece", "full").select("piece", n.alias("n")))
+    # words of the labelled names have a count of 2 at least beside what sites give them
+    known = {w: 0 for _, ws in training for w in ws}
+    for _, ws in training:
+        for w in set(ws):
+            known[w] += 1
+    listed = spark.createDataFrame([(w, max(n, 2)) for w, n in sorted(known.items())], "piece string, least long")
+    words = S.written(words.join(F.broadcast(listed), "piece", "full").select("piece", (F.coalesce("n", F.lit(0)) + F.coalesce("least", F.lit(0))).alias("n")))
     log_total = math.log(words.agg(F.sum("n")).first()[0] + 1)
     split_schema = "host string, words array<string>"
 
@@ -185,15 +230,25 @@ def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
 
         known = _salted(S.map_arrow(hosts, parts, "host string, piece string"), words, "piece", "inner").groupBy("host").agg(F.collect_list(F.struct("piece", "n")).alias("known"))
         split_hosts = S.written(S.map_arrow(hosts.join(known, "host", "left").select("host", "known"), split_known, split_schema))
-    bad = F.arrays_overlap("words", F.array(*map(F.lit, sorted(SEEDS)))).alias("bad")
-    tokens = split_hosts.select("host", bad, F.explode("words").alias("token")).union(seen.filter("token is not null").join(S.small(split_hosts.select("host", bad)), "host").select("host", "bad", "token"))
-    counts = S.written(tokens.distinct().groupBy("token").agg(F.count_if("bad").alias("b"), F.count_if(~F.col("bad")).alias("g")))
-    prior = split_hosts.agg(F.count_if(bad).alias("b"), F.count("*").alias("n")).first()
-    sums = counts.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("g"), F.lit(0)).alias("g"), F.count("*").alias("n")).first()
-    size = sums["n"] + 1
-    base = math.log(sums["g"] + 0.5 * size) - math.log(sums["b"] + 0.5 * size)
-    start = math.log((prior["b"] + 0.5) / (prior["n"] - prior["b"] + 0.5))
-    odds = counts.select("token", (F.log(F.col("b") + 0.5) - F.log(F.col("g") + 0.5) + base).alias("odds"))
+
+    def judge(batch):
+        scores = [first_prior + sum(first_odds.get(w, 0.0) for w in ws) for ws in batch.column(1).to_pylist()]
+        labels = [True if x > SURE else False if x <= 0 else None for x in scores]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(labels, pa.bool_())], names=["host", "words", "bad"])
+
+    judged = S.written(S.map_arrow(split_hosts, judge, split_schema + ", bad boolean").filter("bad is not null"))
+    damped = F.round(F.log2(F.col("n") + 1) * UNIT).cast("long").alias("n")
+    tokens = judged.select("host", "bad", F.explode("words").alias("token")).groupBy("host", "bad", "token").agg(F.count("*").alias("n"))
+    tokens = tokens.union(seen.filter("token is not null").join(S.small(judged.select("host", "bad")), "host").select("host", "bad", "token", "n")).select("bad", "token", damped)
+    tokens = tokens.join(F.broadcast(listed.select(F.col("piece").alias("token"))), "token", "left_anti")
+    side = lambda bad: F.sum(F.when(F.col("bad") == bad, F.col("n")).otherwise(0))
+    counts = S.written(tokens.groupBy("token").agg(side(True).alias("b"), side(False).alias("g")))
+    sums = counts.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("g"), F.lit(0)).alias("g")).first()
+    share = (sums["b"] / UNIT + 1) / ((sums["b"] + sums["g"]) / UNIT + 2)
+    learnt = F.log(F.col("b") / UNIT + SHRINK * share) - F.log(F.col("g") / UNIT + SHRINK * (1 - share)) - math.log(share / (1 - share))
+    start = first_prior
+    given = spark.createDataFrame(sorted(first_odds.items()), "token string, odds double")
+    odds = S.written(counts.select("token", learnt.alias("odds")).union(given))
 
     per_host = S.written(split_hosts.join(_rules_of(hosts, rules), "host", "left"))
     rows = urls.join(S.small(per_host), "host")
@@ -201,7 +256,7 @@ def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = rows.withColumn("pick", F.when(F.size("rules") > 0, F.try_element_at(fits, F.lit(1))))
     tokens = F.concat("words", F.regexp_extract_all(F.lower("path"), F.lit(r"(\p{L}{2,})")))
     columns = ["page_id", "host", "path", F.col("pick.rule").alias("rule"), F.col("pick.rule_verdict").alias("given"), "words"]
-    if _is_small(counts):
+    if _is_small(odds):
         log_odds = spark.sparkContext.broadcast({r["token"]: r["odds"] for r in odds.collect()})
 
         def score(batch):
