@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +20,13 @@ EXCHANGE_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir.  Where that is unset and all runs on this machine, as in tests, a folder of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         folder = "file://" + tempfile.mkdtemp(prefix="astrel-")
@@ -30,9 +34,34 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_made: ContextVar[list | None] = ContextVar("made", default=None)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in this application's part of the shared folder."""
-    return f"{shared_dir(spark)}/astrel/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/astrel/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def step(spark: SparkSession, made: list):
+    """A step whose last written table is its result: what it wrote before, and what stands in made, is deleted at its end; made then holds the result's path."""
+    token = _made.set([])
+    try:
+        yield
+        new = _made.get()
+        for path in [*made, *new[:-1]]:
+            delete(spark, path)
+        made[:] = new[-1:]
+    finally:
+        _made.reset(token)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, *parts: str) -> DataFrame:
@@ -50,9 +79,7 @@ def written(df: DataFrame, *parts: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Delete this application's scratch tables; results not yet written elsewhere become unreadable."""
-    path = f"{shared_dir(spark)}/astrel/{spark.sparkContext.applicationId}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    delete(spark, f"{shared_dir(spark)}/astrel/{spark.sparkContext.applicationId}")
 
 
 def input_bytes(df: DataFrame) -> int:

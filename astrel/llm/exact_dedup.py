@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from astrel.llm import _spark as S
@@ -25,6 +25,8 @@ from astrel.llm import _spark as S
 BITS = 40
 #: Fingerprints held by a scan task before it sends its messages.
 HELD = 1 << 20
+#: Owners at most: each takes some five bytes a document, so a few million documents apiece are little, and more owners make messages short.
+OWNERS = 4096
 
 
 def rice_encode(sorted_values: np.ndarray, bits: int = BITS) -> tuple[int, bytes]:
@@ -136,7 +138,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     kept.  An empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    owners = min(S.partitions(texts), 4096)
+    owners = min(S.partitions(texts), OWNERS)
     sent = S.written(texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha")).mapInArrow(_send(owners), _ROWS), "kind")
     messages = sent.filter("kind = 'msg'").select("owner", "chunk", "k", "count", "coded")
     bits = messages.repartitionById(owners, F.col("owner")).mapInArrow(_answer, "owner int, chunk long, bits array<long>")
@@ -146,15 +148,15 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     moved = texts.withColumn("sha", F.unhex(F.sha2("text", 256))).join(S.small(suspects), "sha", "left_semi")
     groups = moved.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = S.written(groups.filter("group_size > 1").select(F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size"))
-    out = rows.join(S.small(groups), "sha", "left").select(
-        "doc_id",
-        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-    )
-    # a winner that occurs in several rows is kept once; all other rows are single in their window
-    nth = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("keep_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (nth == 1)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    # of the rows with the winning doc_id the first is kept; found by an aggregate, since they may be many
+    place = F.struct("chunk", "owner", "rank")
+    winners = rows.join(S.small(groups.select("sha", "keep_id")), "sha").filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    groups = S.written(groups.join(winners.groupBy("sha").agg(F.min(place).alias("first")), "sha"))
+    alone = F.col("group_size").isNull()
+    return rows.join(S.small(groups), "sha", "left").select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (place == F.col("first"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
+    )
 
 
 ORACLE = """

@@ -66,7 +66,10 @@ def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
 
 def _digest(seed: int):
-    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary"))
+    """What orders documents: by doc_id, or by the text where there is none, so that those spread too."""
+    own = F.concat(F.col("doc_id").cast("string"), F.lit(f":{seed}"))
+    text = F.concat(F.lit(f"null:{seed}:"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    return F.md5(F.when(F.col("doc_id").isNull(), text).otherwise(own).cast("binary"))
 
 
 def _size():
@@ -130,7 +133,7 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> Data
     takes the document, taken its words times that.  A source's taken words differ
     from its target by at most half of one document.  Equal inputs and seeds give
     equal results in any order of rows.  Repeated rows count as often as they occur;
-    a null doc_id is ordered like the text "null"; an empty table gives an empty mix.
+    a document without doc_id is ordered by its text; an empty table gives an empty mix.
     Columns other than these three are ignored.
     """
     sized, dims, decided = _plan(docs, max_epochs, seed)
@@ -166,7 +169,7 @@ def oracle(max_epochs: int = MAX_EPOCHS, seed: int = SEED, documents: str = "doc
     return rf"""
 WITH d AS (SELECT doc_id, source,
     CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':{seed}') AS h FROM {documents}),
+    md5(coalesce(CAST(doc_id AS VARCHAR) || ':{seed}', 'null:{seed}:' || md5(coalesce(text, '')))) AS h FROM {documents}),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1 AS weight,
     {max_epochs} * source_size AS cap FROM s),

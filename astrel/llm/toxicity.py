@@ -344,7 +344,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, np.ndarray]:
     y = np.array([float(r.toxic > 0) for r in held])
     if len(set(y.tolist())) < 2:  # nothing to fit: no evidence either way
         return model, np.zeros(FEATURES)
-    return model, fit_curve(np.array([r.x for r in held]), y)
+    x = np.array([r.x for r in held])
+    order = np.lexsort((y, *x.T))  # sums in one order, so that reruns agree
+    return model, fit_curve(x[order], y[order])
 
 
 def scorer(model, curve: np.ndarray):

@@ -385,6 +385,40 @@ def test_toxicity_discounts_are_estimated(spark, make):
     assert (model.pair_discount < 1).all() and (model.word_discount < 1).all()
 
 
+def test_toxicity_probabilities_by_brute_force(spark, make):
+    """Length-normalised log ratios of the Kneser-Ney models, from the formulas and counts of plain dictionaries."""
+    import math
+
+    import pyarrow as pa
+
+    data, labels = _labelled(make, spark)
+    model, _ = toxicity.train(make(data), labels)
+    pairs = _counted(data)
+    both = pairs[0] + pairs[1]
+    n_both = Counter(w for _, w in both)
+    shared = lambda w: (n_both[w] + 0.5) / (len(both) + 0.5 * (len(n_both) + 1))
+
+    def discount(counts):
+        n1, n2 = (sum(x == k for x in counts.values()) for k in (1, 2))
+        return n1 / (n1 + 2 * max(n2, 1)) if n1 else 0.5
+
+    def log_p(c, v, w):
+        counts = pairs[c]
+        n = Counter(y for _, y in counts)
+        before, kinds = sum(k for (x, _), k in counts.items() if x == v), sum(x == v for x, _ in counts)
+        d, e = discount(counts), discount(n)
+        p = max(n[w] - e, 0) / len(counts) + e * len(n) / len(counts) * shared(w)
+        return math.log(p if not before else max(counts[v, w] - d, 0) / before + d * kinds / before * p)
+
+    texts = [data[0][1], data[7][1], "never seen words w3 w4 w5", "w1"]
+    got = model.evidence(pa.array(texts))[:, 0]
+    for text, x in zip(texts, got.tolist(), strict=True):
+        w = text.split()
+        steps = list(zip(["", *w], w, strict=False))
+        want = sum(log_p(1, *s) - log_p(0, *s) for s in steps) / len(w)
+        assert abs(want - x) < 1e-6
+
+
 def test_toxicity_leaves_a_row_out(spark, make):
     """A training row judged without its own counts: as by models that never saw it (but for the discounts)."""
     import numpy as np
@@ -832,6 +866,46 @@ def test_segmentation_is_most_probable():
             assert math.isclose(sum(s[w] for w in got), best(t))
 
 
+# all operators in the plans of large inputs
+
+
+@pytest.fixture
+def shuffled(spark, monkeypatch):
+    """Nothing is small enough to broadcast."""
+    from astrel.llm import _spark
+
+    monkeypatch.setattr(_spark, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(_spark, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(url_filter, "MODEL_ROWS", 0)
+    monkeypatch.setattr(decontamination, "KNOWN", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _all_operators(spark, make, edge_rows, corpus):
+    data = [*edge_rows, *corpus[:60], *shared_ids(corpus)]
+    docs = make(data)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, corpus[12][1]), (2, corpus[30][1])], "item_id long, text string")
+    pages = spark.createDataFrame([(i, f"http://{h}.org/{i}/books") for i, h in enumerate(["freecasino", "roses", "casinoroses", "bluezebu", "zebu"])], "page_id long, url string")
+    return {
+        "op1": mixing.mix(docs), "op1 rows": mixing.mixed(docs), "op2": ngram_join.ngram_join(docs).drop("group_id"), "op5": decontamination.decontaminate(docs, bench),
+        "op6": url_filter.url_filter(pages).drop("block_score"), "op8": toxicity.toxicity(docs, labels), "op9": substring_dedup.substring_dedup(docs), "op10": exact_dedup.exact_dedup(docs),
+    }
+
+
+@pytest.fixture(scope="module")
+def broadcast_results(spark, make, edge_rows, corpus):
+    return {k: sorted(map(str, rows(df))) for k, df in _all_operators(spark, make, edge_rows, corpus).items()}
+
+
+def test_operators_without_broadcasts(spark, make, edge_rows, corpus, broadcast_results, shuffled):
+    for k, df in _all_operators(spark, make, edge_rows, corpus).items():
+        assert sorted(map(str, rows(df))) == broadcast_results[k], k
+
+
 # HTML
 
 
