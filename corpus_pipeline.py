@@ -79,8 +79,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written in the shared folder and read again."""
-    docs = S.table(spark, sf_dir, "documents")
+    """All stages over documents, each written in the shared folder and read again; tables that later stages don't read are deleted."""
+    docs, made = S.table(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
-        docs = S.written(stage(spark, docs, sf_dir))
+        with S.step(spark, made):
+            docs = S.written(stage(spark, docs, sf_dir))
     return docs
