@@ -288,9 +288,8 @@ class Model:
         for first, last, w, v, per in _words(texts):
             whole, *telling = self.ratios(w, v, per, None if own is None else own[first:last])
             n, docs = np.diff(per), last - first
-            total = np.r_[0.0, np.cumsum(whole)]
-            columns = [(total[per[1:]] - total[per[:-1]]) / np.maximum(n, 1)]
             doc = np.repeat(np.arange(docs), n)
+            columns = [np.bincount(doc, whole, docs) / np.maximum(n, 1)]  # summed text by text, whatever stands around it
             top = np.arange(len(w)) - per[:-1][doc] < TELLING
             for r in telling:
                 order = np.lexsort((-r, doc))
