@@ -77,16 +77,34 @@ def _sum_by(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 _PARTS = "part int, keys binary, counts binary"
 
 
+def _coded(column: np.ndarray) -> bytes:
+    """Counts in a byte each, and those of 255 or more once more with their places."""
+    big = np.flatnonzero(column >= 255)
+    return b"".join(x.tobytes() for x in (np.uint32([len(big)]), np.minimum(column, 255).astype(np.uint8), big.astype(np.uint32), column[big].astype(np.uint32)))
+
+
+def _decoded(coded: bytes, n: int, columns: int) -> np.ndarray:
+    """The n counts of each of several coded columns."""
+    out, at = np.empty((n, columns), np.uint32), 0
+    for c in range(columns):
+        big = int(np.frombuffer(coded, np.uint32, 1, at)[0])
+        out[:, c] = np.frombuffer(coded, np.uint8, n, at + 4)
+        at += 4 + n
+        out[np.frombuffer(coded, np.uint32, big, at), c] = np.frombuffer(coded, np.uint32, big, at + 4 * big)
+        at += 8 * big
+    return out
+
+
 def _parts(part: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     """Rows (part, keys, counts) of arrays (one row a key) that are cut by part."""
     order = np.argsort(part, kind="stable")
-    part, keys, counts = part[order], keys[order], counts[order].astype(np.uint32)
+    part, keys, counts = part[order], keys[order], counts[order]
     first = np.flatnonzero(np.diff(part, prepend=-1))
     cut = [*first.tolist(), len(part)]
     spans = list(zip(cut, cut[1:], strict=False))
     # column after column, which compresses better
     return pa.RecordBatch.from_arrays(
-        [pa.array(part[first], pa.int32()), pa.array([keys[a:b].T.tobytes() for a, b in spans], pa.binary()), pa.array([counts[a:b].T.tobytes() for a, b in spans], pa.binary())],
+        [pa.array(part[first], pa.int32()), pa.array([keys[a:b].T.tobytes() for a, b in spans], pa.binary()), pa.array([b"".join(_coded(c) for c in counts[a:b].T) for a, b in spans], pa.binary())],
         names=["part", "keys", "counts"],
     )
 
@@ -96,7 +114,7 @@ def _read(batches, width: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
     for b in batches:
         for k, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             keys.append(np.frombuffer(k, np.uint64).reshape(width, -1).T)
-            counts.append(np.frombuffer(c, np.uint32).reshape(columns, -1).T)
+            counts.append(_decoded(c, len(keys[-1]), columns))
     if not keys:
         return np.zeros((0, width), np.uint64), np.zeros((0, columns), np.uint32)
     return np.concatenate(keys), np.concatenate(counts)

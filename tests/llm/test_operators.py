@@ -365,6 +365,14 @@ def test_toxicity_counts_all_training_rows(spark, make):
     assert (model.look("words", h, 7)[:, 2] > 0).all() and model.distinct[2] == len(words)
 
 
+def test_coded_counts_round_trip():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 1000):
+        counts = np.minimum(r.zipf(1.3, (n, 3)), 1 << 30)
+        coded = b"".join(toxicity._coded(c) for c in counts.T)
+        assert (toxicity._decoded(coded, n, 3) == counts).all()
+
+
 def test_toxicity_counts_are_exact(spark, make):
     import numpy as np
 
