@@ -124,7 +124,14 @@ def partners(nodes: DataFrame, limit: int = R.FUZZY_LIMIT) -> DataFrame:
     near = near.join(other, "partner").filter("sig <> other")
     found.append(near.select("file", "pos", F.lit(1).alias("rank"), F.lit("agent-near-duplicate-function").alias("rule"), "partner"))
     best = R.strongest(found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]), ["file", "pos"], "rank")
-    return best.select("file", "rule", "pos", F.concat(F.lit("like "), "partner").alias("message"))
+    me = f.select("file", "pos", "name", F.col("hist").alias("mine"))
+    it = f.select(F.col("at").alias("partner"), F.col("name").alias("its"), F.col("file").alias("there"), F.shiftright("pos", SHIFT).alias("at_line"), F.col("hist").alias("theirs"))
+    quoted = lambda c, none: F.coalesce(F.concat(F.lit("`"), c, F.lit("`")), F.lit(none))
+    percent = F.round(X.cosine(F.col("mine"), F.col("theirs")) * 100).cast("int").cast("string")
+    relation = F.when(F.col("rule") == "agent-duplicate-cross-file", " has the body of ").when(F.col("rule") == "agent-similar-function-name", " shares its name with ")
+    relation = relation.when(F.col("rule") == "agent-similar-shape", " makes the calls of ").otherwise(F.concat(F.lit(" is "), percent, F.lit(" % like ")))
+    message = F.concat(quoted(F.col("name"), "this function"), relation, quoted(F.col("its"), "one"), F.lit(" in "), "there", F.lit(":"), F.col("at_line").cast("string"))
+    return best.join(me, ["file", "pos"]).join(it, "partner").select("file", "rule", "pos", message.alias("message"))
 
 
 def banned_imports(nodes: DataFrame, prefixes: Sequence[str], catalog: DataFrame, package: str) -> DataFrame:
@@ -150,15 +157,17 @@ def finalize(found: DataFrame, files: DataFrame, options: Options) -> DataFrame:
     """(file, rule, pos, message) as diagnostics: with the rule's columns, line, column and source line."""
     strict = options.agent_strict
     dim = found.sparkSession.createDataFrame([(r.id, "error" if strict and r.escalates else r.severity, r.category, r.help) for r in RULES], "rule string, severity string, category string, help string")
-    lines = files.select("file", F.col("text"))
     x = found.join(F.broadcast(dim), "rule").withColumns({"line": F.shiftright("pos", SHIFT).cast("int"), "column": F.col("pos").bitwiseAND((1 << SHIFT) - 1).cast("int")})
-    x = x.join(lines, "file", "left").withColumn("snippet", F.coalesce(F.rtrim(F.regexp_replace(F.try_element_at(F.split("text", "\n"), F.col("line")), r"\s+$", "")), F.lit("")))
+    # a file's text is split once, for all lines that its findings show
+    shown = x.groupBy("file").agg(F.collect_set("line").alias("lines")).join(files.select("file", "text"), "file")
+    shown = shown.withColumn("split", F.split("text", "\n")).select("file", F.inline(F.transform("lines", lambda n: F.struct(n.alias("line"), F.try_element_at("split", n).alias("source")))))
+    x = x.join(shown, ["file", "line"], "left").withColumn("snippet", F.coalesce(F.rtrim(F.regexp_replace("source", r"\s+$", "")), F.lit("")))
     return x.select("rule", "severity", "category", "message", "help", "file", X.file_context(F.col("file")).alias("file_context"), "line", "column", "snippet")
 
 
 def external(spark: SparkSession, rows: DataFrame, prefix: str, category: str, root: str = "") -> DataFrame:
     """Findings of another tool, rows(file, line, column, severity, name, message), as diagnostics named prefix/name."""
-    file = F.regexp_replace("file", "^" + root.replace(".", r"\."), "") if root else F.col("file")
+    file = F.when(F.startswith("file", F.lit(root)), F.substring("file", F.lit(len(root) + 1), F.length("file"))).otherwise(F.col("file")) if root else F.col("file")
     return rows.select(
         F.concat(F.lit(prefix + "/"), "name").alias("rule"), X.external_severity(F.col("severity")).alias("severity"), F.lit(category).alias("category"), "message", F.lit("").alias("help"),
         file.alias("file"), X.file_context(file).alias("file_context"), F.col("line").cast("int").alias("line"), F.col("column").cast("int").alias("column"), F.lit("").alias("snippet"),
@@ -222,6 +231,24 @@ def score(diagnostics: DataFrame) -> DataFrame:
     return R.score(diagnostics, (F.col("file_context") == "production") | F.col("rule").isin(*TEST_RULES))
 
 
+def counts(files: DataFrame, findings: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+    """One row: files_scanned, effect_files (they import effect), changed_files, findings and those by category."""
+    imports = F.regexp_count("text", F.lit(r"""(?m)(?:from|import)\s*\(?\s*["'](?:effect|effect/[^"']*|@effect/[^"']*)["']""")) > 0
+    n = files.agg(F.count("*").alias("files_scanned"), F.count_if(imports).alias("effect_files"))
+    changed = F.lit(None).cast("long") if changes is None else F.lit(R.in_files(files, changes).count())
+    by = findings.groupBy("category").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("findings"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "n")))).alias("by_category"))
+    return n.withColumn("changed_files", changed).join(F.broadcast(by))  # one row each
+
+
+def report(findings: DataFrame, top: int | None = 3, locations: int = 5) -> tuple[DataFrame, int]:
+    """(rules shown, number of rules hidden): by severity, count and id, each with its first places and how many more there are."""
+    groups = findings.groupBy("rule").agg(F.min(X.severity_rank(F.col("severity"))).alias("rank"), F.count("*").alias("n"))
+    hidden = max(groups.count() - top, 0) if top is not None else 0
+    shown, places = R.report_groups(findings, top if top is not None else len(BY_ID) + 100_000, locations)
+    places = places.groupBy("rule").agg(F.sort_array(F.collect_list(F.struct("nth", "file", "line", "column", "snippet"))).alias("places"), F.min("severity").alias("severity"), F.min("category").alias("category"), F.min("help").alias("help"))
+    return shown.join(places, "rule").withColumn("more", F.col("n") - F.size("places")).orderBy("rank", F.desc("n"), "rule"), hidden
+
+
 def rules_table(spark: SparkSession) -> DataFrame:
     """The catalog, by severity and id."""
     rows = [(r.id, r.severity, r.category, CATEGORY_LABELS[r.category], r.gate, r.help, r.bad, r.good) for r in RULES]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import json
 import os
 import re
@@ -17,20 +16,44 @@ from pyspark.sql import functions as F
 from astrel.functions import scalars as X
 
 WORKSPACES = ("packages", "apps", "libs", "services")
-PRIMITIVES = ("@radix-ui/", "@headlessui/", "@ariakit/", "@base-ui-components/", "react-aria", "@mui/", "@chakra-ui/", "antd", "@mantine/", "@reach/")
-
-
-def _ignored(rules: list[tuple[str, bool]], rel: str, is_dir: bool) -> bool:
-    out = False
-    for pattern, keep in rules:
-        p = pattern.rstrip("/")
-        if pattern.endswith("/") and not is_dir:
-            continue
-        anchored = "/" in p
-        p = p.lstrip("/")
-        if fnmatch.fnmatch(rel, p) if anchored else fnmatch.fnmatch(rel.rsplit("/", 1)[-1], p):
-            out = not keep
-    return out
+#: Libraries of bare components, by the beginnings of their names.
+PRIMITIVES = (
+    "@base-ui-components/", "@base-ui/", "@chakra-ui/", "@emotion/", "@headlessui/", "@mui/", "@radix-ui/",
+    "class-variance-authority", "styled-components", "tailwind-variants",
+)
+
+
+def _ignore_rule(line: str, base: str) -> tuple[re.Pattern, bool, bool]:
+    """(paths it matches, for folders only, whether it keeps them) of a line of the .gitignore in folder base ("" or "a/b/")."""
+    keep = line.startswith("!")
+    p = line.lstrip("!") if keep else line.removeprefix("\\")
+    folders = p.endswith("/")
+    p = p.rstrip("/")
+    anchored = "/" in p
+    p = p.lstrip("/")
+    out, i = "", 0
+    while i < len(p):
+        if p.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif p.startswith("**", i):
+            out, i = out + ".*", i + 2
+        elif p[i] == "*":
+            out, i = out + "[^/]*", i + 1
+        elif p[i] == "?":
+            out, i = out + "[^/]", i + 1
+        elif p[i] == "[" and (end := p.find("]", i + 2)) > 0:
+            out, i = out + "[" + ("^" + p[i + 2 : end] if p[i + 1] == "!" else p[i + 1 : end]) + "]", end + 1
+        else:
+            out, i = out + re.escape(p[i]), i + 1
+    return re.compile(re.escape(base) + ("" if anchored else "(?:.*/)?") + out), folders, keep
+
+
+def _ignored(rules: list[tuple[re.Pattern, bool, bool]], rel: str, is_dir: bool) -> bool:
+    """Whether the last rule that fits a path leaves it out."""
+    for pattern, folders, keep in reversed(rules):
+        if (is_dir or not folders) and pattern.fullmatch(rel):
+            return not keep
+    return False
 
 
 def walk(root: str) -> list[str]:
@@ -40,7 +63,7 @@ def walk(root: str) -> list[str]:
     def go(folder: Path, rel: str, rules):
         try:
             own = [x.strip() for x in (folder / ".gitignore").read_text().splitlines()]
-            rules = rules + [(x.lstrip("!"), x.startswith("!")) for x in own if x and not x.startswith("#")]
+            rules = rules + [_ignore_rule(x, rel) for x in own if x.strip("!/") and not x.startswith("#")]
         except (OSError, UnicodeDecodeError):
             pass
         for e in sorted(os.scandir(folder), key=lambda e: e.name):
@@ -190,14 +213,47 @@ def exports(spark: SparkSession, text: str) -> DataFrame:
     return d.filter("key rlike '^\\\\./[^*]+$'").select(F.regexp_extract("key", r"([^/]+)$", 1).alias("leaf"), F.regexp_extract("key", r"([^/]+)$", 1).alias("component"))
 
 
+def packages(root: str, depth: int = 2) -> list[tuple[int, str, int, list[str]]]:
+    """(number, name, exported components, dependencies) of the manifests at most so many folders below root, by path."""
+    out = []
+    folders = [Path(root)]
+    for level in range(depth + 1):
+        below = []
+        for f in folders:
+            try:
+                m = json.loads((f / "package.json").read_text())
+            except (OSError, ValueError):
+                m = None
+            if isinstance(m, dict) and isinstance(m.get("name"), str):
+                exports = m.get("exports")
+                n = sum(1 for k in exports if re.fullmatch(r"\./[^*]+", k)) if isinstance(exports, dict) else 0
+                tables = [m.get(t) for t in ("dependencies", "devDependencies", "peerDependencies")]
+                out.append((str(f), m["name"], n, sorted({d for t in tables if isinstance(t, dict) for d in t})))
+            if level < depth:
+                below += [p for p in f.iterdir() if p.is_dir() and not p.name.startswith(".") and p.name not in X.IGNORED_DIRS]
+        folders = sorted(below)
+    return [(i, *x[1:]) for i, x in enumerate(sorted(out))]
+
+
+PACKAGES = "nth int, name string, n_exports int, deps array<string>"
+
+
 def detect_design_system(packages: DataFrame) -> DataFrame:
     """The likeliest design system of packages(nth, name, n_exports, deps): most exports, the last among equals."""
-    ui = F.col("name").rlike(r"(^|[/-])(ui|design-system|components|kit)([/-]|$)")
-    wraps = F.exists("deps", lambda d: F.lit(False) if not PRIMITIVES else _any_prefix(d))
+    low = F.lower("name")
+    ui = F.endswith(low, F.lit("/ui")) | F.endswith(low, F.lit("-ui")) | F.contains(low, F.lit("design-system")) | F.contains(low, F.lit("/components"))
+    wraps = F.exists("deps", _any_prefix)
     good = packages.filter((F.col("n_exports") >= 3) & (ui | wraps))
     return good.agg(F.max_by("name", F.struct("n_exports", "nth")).alias("name")).filter("name is not null")
 
 
+def detect_forbidden_prefixes(packages: DataFrame) -> DataFrame:
+    """The PRIMITIVES that a package depends on: (prefix), ascending."""
+    deps = packages.select(F.explode("deps").alias("dep")).distinct()
+    known = packages.sparkSession.createDataFrame([(p,) for p in PRIMITIVES], "prefix string")
+    return deps.join(F.broadcast(known), F.startswith("dep", F.col("prefix"))).select("prefix").distinct().orderBy("prefix")
+
+
 def _any_prefix(c):
     out = F.startswith(c, F.lit(PRIMITIVES[0]))
     for p in PRIMITIVES[1:]:

@@ -187,8 +187,34 @@ def test_reports_of_other_tools(spark, tmp_path):
 
 
 def test_design_system_detection(spark):
-    p = spark.createDataFrame([(0, "@a/ui", 3, []), (1, "@a/kit", 9, []), (2, "@a/wrap", 9, ["@radix-ui/react-x"]), (3, "@a/core", 50, [])], "nth int, name string, n_exports int, deps array<string>")
+    p = spark.createDataFrame([(0, "@a/ui", 3, []), (1, "@a/kits", 9, []), (2, "@a/wrap", 9, ["@radix-ui/react-x"]), (3, "@a/core", 50, [])], "nth int, name string, n_exports int, deps array<string>")
     assert repo.detect_design_system(p).first()[0] == "@a/wrap"
+    assert [r["prefix"] for r in repo.detect_forbidden_prefixes(p).collect()] == ["@radix-ui/"]
+
+
+def test_ignore_rules(tmp_path):
+    """Patterns hold below their own folder, * stops at a slash and ** doesn't, later lines win."""
+    for f in ("a/x.ts", "a/deep/x.ts", "a/gen/y.ts", "gen/y.ts", "b/c/d/z.ts", "b/z.ts", "b/keep.ts", "q1.ts"):
+        (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f).write_text("")
+    (tmp_path / ".gitignore").write_text("b/*.ts\n!b/keep.ts\nb/**/z.ts\nq?.ts\n")
+    (tmp_path / "a/.gitignore").write_text("/gen/\n/x.ts\n")
+    assert repo.walk(str(tmp_path)) == ["a/deep/x.ts", "b/keep.ts", "gen/y.ts"]
+
+
+def test_partner_messages(spark):
+    body = "{ const a = yield* Effect.succeed(%s); const b = a + 1; return b * a - 2 }"
+    text = 'import { Effect } from "effect"\n%s\nexport const %s = () => Effect.gen(function* () ' + body + ")\n"
+    files = spark.createDataFrame([("a.ts", text % ("", "loadUser", "1")), ("b.ts", text % ("// pushed down", "fetchPerson", "1"))], "file string, text string")
+    found = {r["file"]: r["message"] for r in engine.scan(files, engine.Options(agent=True)).filter("rule = 'agent-duplicate-cross-file'").collect()}
+    assert found["a.ts"].endswith("in b.ts:3") and found["b.ts"].endswith("in a.ts:3") and " has the body of " in found["a.ts"]
+
+
+def test_report_counts_what_it_hides(spark):
+    rows = [(f"r{i % 5}", "warn", "style", "help", f"f{i}.ts", i, 1, "x") for i in range(40)]
+    groups, hidden = engine.report(spark.createDataFrame(rows, "rule string, severity string, category string, help string, file string, line int, column int, snippet string"), 3, 2)
+    got = groups.collect()
+    assert hidden == 2 and [(g["rule"], g["n"], g["more"], len(g["places"])) for g in got] == [(f"r{i}", 8, 6, 2) for i in range(3)]
 
 
 def test_live_equals_batch(spark, tmp_path):
@@ -220,10 +246,17 @@ def test_cli(tmp_path, capsys, spark):
     assert cli.main(["init", str(tmp_path)]) == 0 and cli.main(["init", str(tmp_path)]) == 1
     (tmp_path / "a.ts").write_text('import { Effect } from "effect"\nconst p = Effect.gen(function* () { yield 1 })\n')
     capsys.readouterr()
-    assert cli.main(["scan", str(tmp_path), "--json", "--strict"]) == 1
+    assert cli.main(["scan", str(tmp_path), "--json", "--agent-strict"]) == 1
     report = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert report["score"] == 99 and report["diagnostics"][0]["rule"] == "require-yield-star"
+    assert (report["files_scanned"], report["effect_files"]) == (1, 1) and report["duration_ms"] > 0
     assert cli.main(["scan", str(tmp_path)]) == 0
+    assert "a.ts:2:" in capsys.readouterr().out
+    for name, manifest in (("ui", {"name": "@a/ui", "exports": {"./a": "", "./b": "", "./c": ""}, "dependencies": {"@mui/x": "1"}}), ("app", {"name": "app"})):
+        (tmp_path / "packages" / name).mkdir(parents=True)
+        (tmp_path / "packages" / name / "package.json").write_text(json.dumps(manifest))
+    assert cli.main(["init", str(tmp_path), "--force"]) == 0
+    assert repo.config(str(tmp_path))["package"] == "@a/ui" and list(repo.config(str(tmp_path))["prefixes"]) == ["@mui/"]
 
 
 def test_one_scan_for_all_rules(spark):
