@@ -18,6 +18,8 @@ from astrel.functions import scalars as X
 #: Above this many entries the fuzzy pass is left out, as the analysis defines it; so its table may be broadcast.
 FUZZY_LIMIT = 4000
 BROADCAST_ROWS = 1_000_000
+#: Buckets of a range count for each factor of e: a bucket is one percent wide.
+RANGE_BUCKETS = 100
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -79,6 +81,34 @@ def near_duplicates(df: DataFrame, id_: str, file: str, size: str, vector: str,
     return df.select(id_).mapInArrow(best, f"{id_} {kind}, partner {kind}").filter("partner is not null")
 
 
+def count_within_ratio(df: DataFrame, id_: str, keys: Sequence[str], value: str, ratio: float) -> DataFrame:
+    """(id, n): how many rows of other ids have the same keys and a value within ratio; ids without any are left out.
+
+    Positive a and b are within ratio unless b > a * ratio or a > b * ratio.  So what a
+    row meets are the values up to its limit, a * ratio, without the rows whose limit is
+    below a: two ranks in one sorted run of values and limits, and no pairs are made.
+    The run is cut into buckets, each led by a row with the totals of the lower ones,
+    so that a large group is the work of many tasks.  Rows of one id don't count:
+    a single row is taken off as it is, several are counted as a group of their own.
+    """
+    known = df.filter((F.col(value) > 0) & F.col(id_).isNotNull()).select(id_, *keys, F.col(value).cast("double").alias("v")).filter(" and ".join(f"`{k}` is not null" for k in keys) or "true")
+    known = known.withColumn("again", F.count("*").over(Window.partitionBy(id_, *keys)) > 1)
+    everyone = F.lit(None).cast(df.schema[id_].dataType)
+    rows = known.withColumn("of", F.explode(F.when(F.col("again"), F.array(everyone, F.col(id_))).otherwise(F.array(everyone))))
+    ends = F.array(F.struct(F.col("v").alias("x"), F.lit(False).alias("limit")), F.struct((F.col("v") * ratio).alias("x"), F.lit(True).alias("limit")))
+    ends = rows.select(id_, *keys, "of", "again", F.inline(ends))
+    bucket = F.floor(F.log(F.nanvl("x", F.lit(float("inf")))) * RANGE_BUCKETS)
+    ends = ends.select("*", bucket.alias("bucket"), F.when(F.col("limit"), 0).otherwise(1).alias("values"), F.when(F.col("limit"), 1).otherwise(0).alias("limits"))
+    lower = Window.partitionBy(*keys, "of").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ends.groupBy(*keys, "of", "bucket").agg(F.sum("values").alias("values"), F.sum("limits").alias("limits"))
+    leads = totals.select(*keys, "of", "bucket", F.sum("values").over(lower).alias("values"), F.sum("limits").over(lower).alias("limits"))
+    # Nulls sort first, so leads lead; a value precedes the limits that equal it, and equal rows share their sums.
+    run = Window.partitionBy(*keys, "of", "bucket").orderBy("x", "limit").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    met = F.when(F.col("limit"), F.sum("values").over(run)).otherwise(-F.sum("limits").over(run) - F.when(F.col("again"), 0).otherwise(1))
+    found = ends.unionByName(leads, allowMissingColumns=True).withColumn("n", met).filter("limit is not null")
+    return found.groupBy(id_).agg(F.sum(F.when(F.col("of").isNull(), F.col("n")).otherwise(-F.col("n"))).alias("n")).filter("n > 0")
+
+
 def strongest(df: DataFrame, entity: Sequence[str], rank: str) -> DataFrame:
     """For each entity the row with the smallest rank: an aggregate, not a window."""
     row = F.min(F.struct(F.col(rank), *[F.col(c) for c in df.columns if c not in (*entity, rank)])).alias("r")

@@ -123,6 +123,40 @@ def test_queries_against_sql(spark, sf):
     assert entry.entry(spark).columns == ["rule", "severity", "file", "doc_id", "line"]
 
 
+def customers(spark, folder, rows):
+    spark.createDataFrame(rows, "c_custkey bigint, c_nationkey int, c_mktsegment string, c_acctbal double").write.parquet(f"{folder}/customer.parquet")
+    return str(folder)
+
+
+def test_range_count_of_odd_rows(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    # The last two are within ratio, though rounding puts their logarithms two buckets of width log(1.34) apart.
+    balances = [None, -1.0, 0.0, 5e-324, 1e-310, 1.0, 1.0, 1.34, 1.3400000000000003, 1.7955999999999999, 100.0, 133.99, 134.0, 134.01, 1e308, 1.5e308, float("inf"), float("nan"), 0.002870146287496672, 0.0038459960252455404]
+    rows = [(i, i % 2, "A", v) for i, v in enumerate(balances * 4)] + [(1000, 1, None, 1.0), (1001, None, "A", 1.0), (None, 1, "A", 1.0)]
+    rows += [(2000 + i % 3, i % 2, "AB"[i % 5 % 2], v) for i, v in enumerate(balances * 3)] + [(3000, 2, "A", 5.0), (3000, 2, "A", 6.0), (3001, 3, "A", 5.0)]
+    folder = customers(spark, tmp_path, rows)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{folder}/customer.parquet/*.parquet'")
+    want = dict(con.execute(entry.oracle_sql()["q_len_bucket_join"]).fetchall())
+    assert want[18] and 3000 not in want
+    assert {r.c_custkey: r.n for r in entry.queries()["q_len_bucket_join"](spark, folder).collect()} == want
+
+
+def test_range_count_makes_no_pairs(spark, tmp_path):
+    """A group of 100,000 is 10^10 pairs; its counts come from two rows for each of its own."""
+    import __spark_entry__ as entry
+
+    balance = [100.0, 120.0, 150.0]
+    folder = customers(spark, tmp_path, [(i, 1, "A", balance[i % 3]) for i in range(100_000)])
+    got = entry.queries()["q_len_bucket_join"](spark, folder)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    a, b, c = 33_334, 33_333, 33_333
+    assert {(r.c_custkey % 3, r.n) for r in got.collect()} == {(0, a + b - 1), (1, a + b + c - 1), (2, b + c - 1)}
+
+
 @pytest.fixture
 def tree(tmp_path):
     (tmp_path / "src/__tests__").mkdir(parents=True)
