@@ -17,6 +17,12 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 24 << 20
 #: Bytes of input that one partition of a packed exchange serves.
 EXCHANGE_BYTES = 16 << 20
+#: Partitions of a packed exchange for which a table of short rows has one file.
+FEW = 12
+#: For tables in a folder of the file: scheme.  Where Hadoop has no native library, its usual local file system starts chmod for each file, for the file of
+#: its checksums and for its task's folder; a process that an executor starts has the executor's memory at first, and counts as another executor until it
+#: is chmod.  This one writes no checksums besides Parquet's own.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,11 +74,12 @@ def written(df: DataFrame, *parts: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, prunes columns.
 
     The tables lie under <shared>/astrel/<application id>; the caller's platform
-    removes that folder with the application, or release() does.
+    removes that folder with the application, or release() does.  In a folder of the
+    file: scheme they have no .crc files.
     """
     spark = df.sparkSession
     path = scratch(spark)
-    writer = df.write
+    writer = df.write.options(**PLAIN_FILES)
     (writer.partitionBy(*parts) if parts else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -94,6 +101,11 @@ def partitions(df: DataFrame) -> int:
     return n if size >= 1 << 60 else min(max(n, size // EXCHANGE_BYTES + 1), 200_000)
 
 
+def few(df: DataFrame, of: int) -> DataFrame:
+    """df, a table of short rows made beside a packed exchange of so many partitions, in a file for FEW of these at most: its files grow with the input too."""
+    return df.coalesce(-(-of // FEW))
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows (BROADCAST_ROWS) and BROADCAST_BYTES, else df: AQE then joins by shuffle."""
     rows = BROADCAST_ROWS if rows is None else min(rows, BROADCAST_ROWS)

@@ -319,7 +319,7 @@ def components(edges: DataFrame) -> DataFrame:
     label, so distances halve; labels are written after each round.  Ends when no
     label falls.
     """
-    both = S.written(edges.select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(edges.select("hi", "lo")))
+    both = S.written(edges.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b")), F.struct(F.col("hi").alias("a"), F.col("lo").alias("b")))).alias("e")).select("e.*"))
     labels = S.written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "cid"))
     while True:
         heard = both.join(labels.withColumnRenamed("cid", "b"), "b").groupBy(F.col("a").alias("cid")).agg(F.min("label").alias("near"))
@@ -365,7 +365,7 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     many = S.written(second.filter("gram = lead").groupBy("lead").agg(parts.alias("parts")).filter("parts > 1"))
     block = F.xxhash64("lead", F.pmod(F.xxhash64("cid"), F.coalesce("parts", F.lit(1)))).alias("block")
     rows = second.join(S.small(many), "lead", "left").select("cid", "n", "k", "gram", block, (F.col("gram") == F.col("lead")).alias("leads"))
-    members = S.written(rows.filter("leads").select("cid", "block"))
+    members = S.written(S.few(rows.filter("leads").select("cid", "block"), owners))
     post = S.written(rows.groupBy("gram", "block").agg(F.min("k").alias("k")))
     often = S.written(post.groupBy("gram").agg(F.count("*").alias("blocks")).filter("blocks > 1"))
     post = post.join(often, "gram").withColumn("salts", F.ceil(F.col("blocks") / SPLIT).cast("int"))
@@ -378,10 +378,10 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     sides = tiles.select("b1", "b2", F.explode(F.when(F.col("b1") == F.col("b2"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
     sides = sides.withColumn("block", F.when(F.col("side") == 0, F.col("b1")).otherwise(F.col("b2")))
-    wanted = S.written(sides.join(members, "block").select("b1", "b2", "side", "cid"))
+    wanted = S.written(S.few(sides.join(members, "block").select("b1", "b2", "side", "cid"), owners))
     named = classes.join(wanted.select("cid").distinct(), "cid").select(F.col("first_id").alias("d"), F.col("text_key").alias("t"), "cid", "copies")
     # one text for each class: that of its first document
-    named = S.small(S.written(named))
+    named = S.small(S.written(S.few(named, owners)))
     whole = texts.join(named, texts["doc_id"].eqNullSafe(F.col("d")) & (texts["text_key"] == F.col("t"))).select("cid", "copies", "text")
     sets = whole.mapInArrow(_sets, "cid long, copies long, grams binary").dropDuplicates(["cid"])
     shipped = wanted.join(sets, "cid").select("b1", "b2", "side", "cid", "copies", "grams").repartition("b1", "b2").sortWithinPartitions("b1", "b2")
@@ -390,10 +390,10 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     degree = answers.groupBy("cid").agg(F.sum("others").alias("others"))
     edges = answers.filter("root is not null").select(F.least("cid", "root").alias("lo"), F.greatest("cid", "root").alias("hi"))
     about = classes.select(*key, "cid", "copies", "first_id").join(degree, "cid", "left").filter("copies > 1 or others is not null")
-    about = S.written(about.join(components(edges), "cid", "left").withColumn("group_id", F.coalesce("component", "cid")).drop("component"))
+    about = S.written(S.few(about.join(components(S.few(edges, owners)), "cid", "left").withColumn("group_id", F.coalesce("component", "cid")).drop("component"), owners))
     least = about.groupBy("group_id").agg(F.min("first_id").alias("component_id"))
     about = about.join(least, "group_id").select(*key, (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"), "component_id", "group_id")
-    return sketch.drop("prefix").join(S.small(S.written(about)), key, "left").select(
+    return sketch.drop("prefix").join(S.small(S.written(S.few(about, owners))), key, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"),
         F.when(F.col("group_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_key", "group_id",
     )

@@ -49,7 +49,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar texts the document with the smallest doc_id, by text_key where ids are equal or missing; missing ids come last."""
-    found = S.written(ngram_join.ngram_join(docs).filter("group_id is not null").select("group_id", F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("d"), F.col("text_key").alias("k")).alias("doc")))
+    found = ngram_join.ngram_join(docs).filter("group_id is not null").select("group_id", F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("d"), F.col("text_key").alias("k")).alias("doc"))
+    found = S.written(S.few(found, S.partitions(docs)))
     first = found.groupBy("group_id").agg(F.min("doc").alias("first"))
     others = found.join(S.small(S.written(first)), "group_id").filter("doc <> first")
     return _without(docs, others.select("doc.d", "doc.k"))
